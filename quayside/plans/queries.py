@@ -185,3 +185,93 @@ def q_gaussian_nb_confusion(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_gaussian_nb_confusion(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ C2
+def _lda2_sql() -> str:
+    a, b = NB_FEATURES
+    return with_ol(f"""
+, st AS (SELECT late AS y, count(*) AS n, avg({a}) AS ma, avg({b}) AS mb,
+                var_pop({a}) AS vaa, var_pop({b}) AS vbb, covar_pop({a}, {b}) AS vab
+         FROM tr GROUP BY late),
+pool AS (SELECT sum(n * vaa) / (sum(n) - count(*)) AS saa, sum(n * vbb) / (sum(n) - count(*)) AS sbb,
+                sum(n * vab) / (sum(n) - count(*)) AS sab, sum(n) AS nt FROM st),
+inv AS (SELECT sbb / (saa * sbb - sab * sab) AS iaa, saa / (saa * sbb - sab * sab) AS ibb,
+               -sab / (saa * sbb - sab * sab) AS iab, nt FROM pool),
+mdl AS (SELECT y, iaa * ma + iab * mb AS wa, iab * ma + ibb * mb AS wb,
+               -0.5 * (ma * (iaa * ma + iab * mb) + mb * (iab * ma + ibb * mb)) + ln(n / nt) AS w0
+        FROM st, inv),
+sc AS (SELECT te.late AS y,
+              CASE WHEN m1.w0 + m1.wa * te.{a} + m1.wb * te.{b} > m0.w0 + m0.wa * te.{a} + m0.wb * te.{b}
+                   THEN 1 ELSE 0 END AS p
+       FROM te, (SELECT * FROM mdl WHERE y = 0) m0, (SELECT * FROM mdl WHERE y = 1) m1)
+{confusion_sql('sc')}""")
+
+
+@register("discriminant_2d_confusion", _lda2_sql())
+def q_discriminant_2d(spark, sf_dir):
+    """Late delivery by linear discriminant analysis on order day and quantity."""
+    from ..operators.discriminant import discriminant_fit
+    train, test = split(order_lines(spark, sf_dir))
+    model = discriminant_fit(train, NB_FEATURES, "late", ridge=0.0)
+    return confusion(model.transform(test).select(F.col("late").alias("label"), "prediction"))
+
+
+# ------------------------------------------------------------------ T3/T4
+def _ols1(target: str, feature: str):
+    def q(spark, sf_dir):
+        from ..operators.regression import ols_fit
+        train, _ = split(order_lines(spark, sf_dir))
+        m = ols_fit(train, [feature], target)
+        return spark.createDataFrame(
+            [(feature, round(float(m.coef[0]), 10), round(float(m.intercept), 6))],
+            "feature string, slope double, intercept double")
+    sql = with_ol(f"""SELECT '{feature}' AS feature,
+        round(regr_slope({target}, {feature}), 10) AS slope,
+        round(regr_intercept({target}, {feature}), 6) AS intercept FROM tr""")
+    return q, sql
+
+
+_q, _s = _ols1("revenue", "l_discount")
+register("revenue_linear", _s)(_q)
+_q, _s = _ols1("quantity", "order_day")
+register("quantity_linear", _s)(_q)
+
+
+# ------------------------------------------------------------------ C5
+KNN_K = 5
+EMB_DIM = 64
+
+
+def embedding_columns(spark, sf_dir):
+    from ..sources.tables import read_table
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label",
+                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIM)])
+
+
+@register("knn_exact", f"""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.vec_id AS q, b.vec_id AS t, b.label AS lab, list_distance(a.v, b.v) AS dist
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT q, t, lab, row_number() OVER (PARTITION BY q ORDER BY dist, lab, t) AS rk FROM d),
+top AS (SELECT * FROM r WHERE rk <= {KNN_K}),
+vote AS (SELECT q, lab, count(*) AS c, sum(rk) AS rs FROM top GROUP BY q, lab),
+best AS (SELECT q, lab, row_number() OVER (PARTITION BY q ORDER BY c DESC, rs, lab) AS b FROM vote),
+nb AS (SELECT q, string_agg(CAST(t AS VARCHAR), ',' ORDER BY rk) AS neighbors FROM top GROUP BY q)
+SELECT e.vec_id, e.label, CAST(best.lab AS DOUBLE) AS prediction, nb.neighbors
+FROM e JOIN best ON e.vec_id = best.q AND best.b = 1 JOIN nb ON nb.q = e.vec_id""")
+def q_knn_exact(spark, sf_dir):
+    """Leave-one-out 5-NN vote over every embedding (neighbours listed)."""
+    from ..operators.knn import knn_neighbors, knn_vote
+    e = embedding_columns(spark, sf_dir)
+    cols = [f"e{i}" for i in range(EMB_DIM)]
+    nb = knn_neighbors(e, e, cols, KNN_K, label="label", train_id="vec_id",
+                       query_id="vec_id", exclude_self=True)
+    pred = knn_vote(nb, ["vec_id"])
+    lists = nb.groupBy("vec_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank0", "tid"))),
+                                 lambda s: s["tid"].cast("string")), ",").alias("neighbors"))
+    return (e.select("vec_id", "label").join(pred, "vec_id").join(lists, "vec_id")
+            .select("vec_id", "label", F.col("prediction").cast("double").alias("prediction"),
+                    "neighbors"))
