@@ -76,67 +76,105 @@ class BoostedTreesModel:
     trees: list           # per round: (list[LevelSplits], leaf weights dense)
     base_margin: float
 
-    def margin_column(self, bins) -> F.Column:
-        m = F.lit(self.base_margin)
-        for levels, leaf in self.trees:
-            node = F.lit(0)
-            for lv in levels:
-                node = lv.step(node, F.lit(0), bins)
-            m = m + F.coalesce(F.try_element_at(array_literal(leaf, "double"),
-                                                (node + 1).cast("int")), F.lit(0.0))
-        return m
-
     def transform_columns(self, df, cols, prediction):
         binned, bcols = bin_columns(df, cols, self.edges)
-        bins = F.array(*[F.col(c) for c in bcols])
-        out = binned.withColumn("__margin", self.margin_column(bins))
+        out = binned.withColumn("__bins", F.array(*[F.col(c) for c in bcols])) \
+                    .withColumn("__margin", F.lit(self.base_margin))
+        # one projection per tree level: the node column is materialised at
+        # each step, so expressions never nest (nesting grows exponentially)
+        for levels, leaf in self.trees:
+            out = out.withColumn("__node", F.lit(0))
+            for lv in levels:
+                out = out.withColumn("__node", lv.step(F.col("__node"), F.lit(0), F.col("__bins")))
+            out = out.withColumn("__margin", F.col("__margin") + F.coalesce(
+                F.try_element_at(array_literal(leaf, "double"), (F.col("__node") + 1).cast("int")),
+                F.lit(0.0)))
+        out = out.drop("__bins", "__node")
         return out.withColumn(prediction, F.when(F.col("__margin") > 0, 1.0).otherwise(0.0)) \
                   .drop("__margin", *bcols)
 
 
+def _best_per_node_feature(hist: DataFrame, lam: float, gamma: float,
+                           min_child_weight: float) -> DataFrame:
+    """Best cut per (node, feature) with the node totals G and H.
+
+    Both windows share the (node, feature) partitioning of the histogram,
+    so this adds no exchange beyond the aggregate's; the result has at most
+    nodes x features rows and the driver picks among features per node.
+    """
+    gains = histogram_gains(hist, lam, gamma)
+    ok = (F.col("HL") >= min_child_weight) & (F.col("HR") >= min_child_weight)
+    ranked = gains.withColumn("gain", F.when(ok, F.col("gain")))
+    w = Window.partitionBy("node", "feature").orderBy(F.desc_nulls_last("gain"), "bin")
+    return (ranked.withColumn("__r", F.row_number().over(w)).where("__r = 1")
+            .select("node", "feature", "bin", "gain", "GL", "HL", "G", "H"))
+
+
 def boosted_trees_fit(df: DataFrame, cols: list[str], label: str = "label",
                       rounds: int = 20, max_depth: int = 3, eta: float = 0.3,
                       lam: float = 1.0, gamma: float = 0.0, min_child_weight: float = 1.0,
-                      max_bins: int = 32, edges: list | None = None) -> BoostedTreesModel:
+                      max_bins: int = 32, edges: list | None = None,
+                      checkpoint_every: int = 5) -> BoostedTreesModel:
     edges = edges if edges is not None else quantile_edges(df, cols, max_bins)
     binned, bcols = bin_columns(df.select(*cols, F.col(label).cast("double").alias("y")),
                                 cols, edges)
     data = checkpoint(binned.select(F.array(*[F.col(c) for c in bcols]).alias("b"), "y",
                                     F.lit(0.0).alias("margin")))
-    trees = []
-    for _ in range(rounds):
+    trees, release = [], None
+    for rnd in range(rounds):
         p = 1 / (1 + F.exp(-F.col("margin")))
         cur = data.select("b", "y", "margin", (p - F.col("y")).alias("g"),
                           (p * (1 - p)).alias("h"), F.lit(0).alias("node"))
-        levels = []
+        levels, leaf_gh = [], {}
         for depth in range(max_depth):
             lo, hi = level_range(depth)
             hist = (cur.where((F.col("node") >= lo) & (F.col("node") <= hi))
                     .select("node", "g", "h", F.posexplode("b").alias("feature", "bin"))
                     .groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
-            gains = histogram_gains(hist, lam, gamma).where(
-                (F.col("HL") >= min_child_weight) & (F.col("HR") >= min_child_weight)
-                & (F.col("gain") > 0))
-            w = Window.partitionBy("node").orderBy(F.desc("gain"), "feature", "bin")
-            rows = (gains.withColumn("__r", F.row_number().over(w)).where("__r = 1")
-                    .select("node", "feature", "bin").collect())
-            if not rows:
+            best = {}
+            stats = _best_per_node_feature(hist, lam, gamma, min_child_weight).collect()
+            if release is not None:
+                # this round's rows are cached now; drop the previous round's
+                release.unpersist()
+                release = None
+            for r in stats:
+                node = r["node"]
+                leaf_gh[node] = (r["G"], r["H"])
+                if r["gain"] is not None and r["gain"] > 0:
+                    key = (-r["gain"], r["feature"], r["bin"])
+                    if node not in best or key < best[node][0]:
+                        best[node] = (key, r)
+            if not best:
                 break
             lv = LevelSplits.empty(depth, 1)
-            for r in rows:
-                lv.set(0, r["node"], r["feature"], float(r["bin"]))
+            for node, (_, r) in best.items():
+                lv.set(0, node, r["feature"], float(r["bin"]))
+                # the children's sums come with the split
+                leaf_gh[2 * node + 1] = (r["GL"], r["HL"])
+                leaf_gh[2 * node + 2] = (r["G"] - r["GL"], r["H"] - r["HL"])
+                leaf_gh.pop(node, None)
             levels.append(lv)
             cur = cur.withColumn("node", lv.step(F.col("node"), F.lit(0), F.col("b")))
-        leaves = cur.groupBy("node").agg(F.sum("g").alias("G"), F.sum("h").alias("H")).collect()
         span = 2 ** (len(levels) + 1) - 1
         leaf = [0.0] * span
-        for r in leaves:
-            leaf[r["node"]] = -eta * r["G"] / (r["H"] + lam)
+        for node, (G, H) in leaf_gh.items():
+            if node < span:
+                leaf[node] = -eta * G / (H + lam)
         trees.append((levels, leaf))
         wl = array_literal(leaf, "double")
-        data = checkpoint(cur.select(
-            "b", "y", (F.col("margin") + F.coalesce(F.try_element_at(wl, (F.col("node") + 1).cast("int")),
-                                                    F.lit(0.0))).alias("margin")))
+        nxt = cur.select("b", "y", (F.col("margin") + F.coalesce(
+            F.try_element_at(wl, (F.col("node") + 1).cast("int")), F.lit(0.0))).alias("margin"))
+        # persist each round; cut lineage with a reliable checkpoint every few
+        if (rnd + 1) % checkpoint_every == 0:
+            nxt = checkpoint(nxt)
+        else:
+            nxt = nxt.persist()
+        release = data if data.is_cached else None
+        data = nxt
+    if release is not None:
+        release.unpersist()
+    if data.is_cached:
+        data.unpersist()
     return BoostedTreesModel(edges, trees, 0.0)
 
 

@@ -1,3 +1,5 @@
 from .queries import QUERIES, ORACLE_SQL, flagship
 
 __all__ = ["QUERIES", "ORACLE_SQL", "flagship"]
+
+from . import models  # noqa: E402,F401  (registers the model queries)

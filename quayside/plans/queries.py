@@ -7,7 +7,7 @@ tables).  Reals are rounded on both sides; counts are BIGINT.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import confusion
@@ -275,3 +275,136 @@ def q_knn_exact(spark, sf_dir):
     return (e.select("vec_id", "label").join(pred, "vec_id").join(lists, "vec_id")
             .select("vec_id", "label", F.col("prediction").cast("double").alias("prediction"),
                     "neighbors"))
+
+
+# ------------------------------------------------------------------ C7 step
+ET_FEATURES = ["order_day", "l_quantity", "l_discount", "l_tax"]
+ET_TREES, ET_K, ET_SEED = 4, 2, 7
+
+
+def _et_sql() -> str:
+    f = ET_FEATURES
+    unp = " UNION ALL ".join(f"SELECT {i} AS feature, CAST({c} AS DOUBLE) AS v, late AS y FROM tr"
+                             for i, c in enumerate(f))
+    return with_ol(f"""
+, t AS (SELECT range AS tree FROM range({ET_TREES})),
+x AS ({unp}),
+st AS (SELECT tree, feature, min(v) AS lo, max(v) AS hi, count(*) AS n,
+              sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS c0, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS c1
+       FROM x, t GROUP BY tree, feature),
+ca AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY
+              ('0x' || substr(md5(concat_ws('|', '{ET_SEED}', tree, 0, feature, 'pick')), 1, 8))::UBIGINT, feature) AS r
+       FROM st WHERE hi > lo),
+cu AS (SELECT *, lo + ('0x' || substr(md5(concat_ws('|', '{ET_SEED}', tree, 0, feature)), 1, 8))::UBIGINT
+                  / 4294967296.0 * (hi - lo) AS cut FROM ca WHERE r <= {ET_K}),
+le AS (SELECT cu.tree, cu.feature, count(x.v) AS n_left,
+              sum(CASE WHEN x.y = 1 THEN 1 ELSE 0 END) AS l1
+       FROM cu LEFT JOIN x ON x.feature = cu.feature AND x.v <= cu.cut GROUP BY cu.tree, cu.feature),
+g AS (SELECT cu.*, le.n_left, le.n_left - le.l1 AS l0, le.l1 FROM cu JOIN le USING (tree, feature)),
+gg AS (SELECT *, (1 - (c0 / n) ^ 2 - (c1 / n) ^ 2)
+            - n_left / n * (1 - (l0 / n_left) ^ 2 - (l1 / n_left) ^ 2)
+            - (n - n_left) / n * (1 - ((c0 - l0) / (n - n_left)) ^ 2 - ((c1 - l1) / (n - n_left)) ^ 2) AS gain FROM g)
+SELECT CAST(tree AS INTEGER) AS tree, CAST(feature AS INTEGER) AS feature, round(cut, 6) AS cut,
+       CAST(n AS BIGINT) AS n, CAST(c1 AS BIGINT) AS n_late, CAST(n_left AS BIGINT) AS n_left,
+       CAST(l1 AS BIGINT) AS n_left_late, round(gain, 8) AS gain,
+       row_number() OVER (PARTITION BY tree ORDER BY gain DESC, feature) = 1 AS chosen
+FROM gg""")
+
+
+@register("extra_trees_level1", _et_sql())
+def q_extra_trees_level1(spark, sf_dir):
+    """Root level of an extra-trees forest on the training lines: drawn
+    features, random cuts, class counts left of the cut, Gini gain and the
+    chosen split per tree."""
+    from ..operators.extra_trees import level_candidates
+    train, _ = split(order_lines(spark, sf_dir))
+    data = train.select(F.array(*[F.col(c).cast("double") for c in ET_FEATURES]).alias("x"),
+                        F.col("late").cast("double").alias("y"),
+                        F.array_repeat(F.lit(0), ET_TREES).alias("nodes"))
+    c = level_candidates(data, 0, [0.0, 1.0], ET_TREES, ET_K, ET_SEED)
+    w = Window.partitionBy("tree").orderBy(
+        F.desc("gain"), "feature")
+    return c.select(F.col("tree").cast("int").alias("tree"), F.col("feature").cast("int").alias("feature"),
+                    F.round("cut", 6).alias("cut"), F.col("n").cast("bigint").alias("n"),
+                    F.col("c1").cast("bigint").alias("n_late"),
+                    F.col("n_left").cast("bigint").alias("n_left"),
+                    F.col("l1").cast("bigint").alias("n_left_late"),
+                    F.round("gain", 8).alias("gain"),
+                    (F.row_number().over(w) == 1).alias("chosen"))
+
+
+# ------------------------------------------------------------------ C8 step
+BOOST_FEATURES = ["order_day", "l_quantity"]
+BOOST_EDGES = [[240.0 * i for i in range(1, 10)], [5.0 * i for i in range(1, 10)]]
+BOOST_LAMBDA = 1.0
+
+
+def _boost_sql() -> str:
+    def bucket(c, edges):
+        return "(" + " + ".join(f"CASE WHEN {c} >= {e} THEN 1 ELSE 0 END" for e in edges) + ")"
+    unp = " UNION ALL ".join(
+        f"SELECT {i} AS feature, {bucket(c, e)} AS bin, 0.5 - late AS g, 0.25 AS h FROM tr"
+        for i, (c, e) in enumerate(zip(BOOST_FEATURES, BOOST_EDGES)))
+    lam = BOOST_LAMBDA
+    return with_ol(f"""
+, x AS ({unp}),
+hg AS (SELECT feature, bin, sum(g) AS g, sum(h) AS h FROM x GROUP BY feature, bin),
+rs AS (SELECT feature, bin,
+              sum(g) OVER (PARTITION BY feature ORDER BY bin ROWS UNBOUNDED PRECEDING) AS gl,
+              sum(h) OVER (PARTITION BY feature ORDER BY bin ROWS UNBOUNDED PRECEDING) AS hl,
+              sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht FROM hg)
+SELECT CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin,
+       round(gl, 6) AS g_left, round(hl, 6) AS h_left,
+       round(0.5 * (gl * gl / (hl + {lam}) + (gt - gl) ^ 2 / (ht - hl + {lam}) - gt * gt / (ht + {lam})), 6) AS gain
+FROM rs""")
+
+
+@register("boost_round1_gain", _boost_sql())
+def q_boost_round1_gain(spark, sf_dir):
+    """First boosting round at the root: g and h at margin 0, histogram over
+    fixed bins, running sums and the second-order gain of every cut."""
+    from ..operators.boosting import bin_columns, histogram_gains
+    train, _ = split(order_lines(spark, sf_dir))
+    b, bcols = bin_columns(train.select(*BOOST_FEATURES, "late"), BOOST_FEATURES, BOOST_EDGES)
+    hist = (b.select(F.lit(0).alias("node"), (0.5 - F.col("late")).alias("g"), F.lit(0.25).alias("h"),
+                     F.posexplode(F.array(*bcols)).alias("feature", "bin"))
+            .groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
+    gg = histogram_gains(hist, BOOST_LAMBDA, 0.0)
+    return gg.select(F.col("feature").cast("int").alias("feature"), F.col("bin").cast("int").alias("bin"),
+                     F.round("GL", 6).alias("g_left"), F.round("HL", 6).alias("h_left"),
+                     F.round("gain", 6).alias("gain"))
+
+
+# ------------------------------------------------------------------ C9 step
+TREE_EDGES = [240.0 * i for i in range(1, 10)]
+
+
+@register("tree_split_gain", with_ol(f"""
+, hg AS (SELECT order_day, count(*) AS n, sum(late) AS p FROM tr GROUP BY order_day),
+cuts AS (SELECT unnest({TREE_EDGES}) AS cut),
+s AS (SELECT cut, sum(CASE WHEN order_day < cut THEN n ELSE 0 END) AS nl,
+             sum(CASE WHEN order_day < cut THEN p ELSE 0 END) AS pl, sum(n) AS nt, sum(p) AS pt
+      FROM cuts, hg GROUP BY cut)
+SELECT cut, CAST(nl AS BIGINT) AS n_left, CAST(pl AS BIGINT) AS late_left,
+       round((nl * (1 - (pl / nl) ^ 2 - (1 - pl / nl) ^ 2)
+            + (nt - nl) * (1 - ((pt - pl) / (nt - nl)) ^ 2 - (1 - (pt - pl) / (nt - nl)) ^ 2)) / nt, 8) AS impurity
+FROM s"""))
+def q_tree_split_gain(spark, sf_dir):
+    """Decision-tree split criterion: weighted Gini impurity of the cuts
+    'order_day < c' on the training lines, from a binned class histogram."""
+    from ..operators.boosting import bin_columns
+    train, _ = split(order_lines(spark, sf_dir))
+    b, (bc,) = bin_columns(train.select("order_day", "late"), ["order_day"], [TREE_EDGES])
+    hist = b.groupBy(F.col(bc).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("late").alias("p"))
+    run = Window.orderBy("bin").rowsBetween(
+        -(10 ** 9), 0)
+    tot = Window.partitionBy()
+    s = (hist.withColumn("nl", F.sum("n").over(run)).withColumn("pl", F.sum("p").over(run))
+         .withColumn("nt", F.sum("n").over(tot)).withColumn("pt", F.sum("p").over(tot))
+         .where(F.col("bin") < len(TREE_EDGES)))
+    nl, pl, nt, pt = (F.col(c).cast("double") for c in ("nl", "pl", "nt", "pt"))
+    gini = lambda n, p: 1 - (p / n) * (p / n) - (1 - p / n) * (1 - p / n)
+    edges = F.element_at(F.array(*[F.lit(e) for e in TREE_EDGES]), (F.col("bin") + 1).cast("int"))
+    return s.select(edges.alias("cut"), F.col("nl").cast("bigint").alias("n_left"),
+                    F.col("pl").cast("bigint").alias("late_left"),
+                    F.round((nl * gini(nl, pl) + (nt - nl) * gini(nt - nl, pt - pl)) / nt, 8).alias("impurity"))
