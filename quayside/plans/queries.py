@@ -343,7 +343,8 @@ def _boost_sql() -> str:
     def bucket(c, edges):
         return "(" + " + ".join(f"CASE WHEN {c} >= {e} THEN 1 ELSE 0 END" for e in edges) + ")"
     unp = " UNION ALL ".join(
-        f"SELECT {i} AS feature, {bucket(c, e)} AS bin, 0.5 - late AS g, 0.25 AS h FROM tr"
+        f"SELECT {i} AS feature, {bucket(c, e)} AS bin, CAST(0.5 - late AS DOUBLE) AS g, "
+        f"CAST(0.25 AS DOUBLE) AS h FROM tr"
         for i, (c, e) in enumerate(zip(BOOST_FEATURES, BOOST_EDGES)))
     lam = BOOST_LAMBDA
     return with_ol(f"""
@@ -381,7 +382,7 @@ TREE_EDGES = [240.0 * i for i in range(1, 10)]
 
 @register("tree_split_gain", with_ol(f"""
 , hg AS (SELECT order_day, count(*) AS n, sum(late) AS p FROM tr GROUP BY order_day),
-cuts AS (SELECT unnest({TREE_EDGES}) AS cut),
+cuts AS (SELECT CAST(unnest({TREE_EDGES}) AS DOUBLE) AS cut),
 s AS (SELECT cut, sum(CASE WHEN order_day < cut THEN n ELSE 0 END) AS nl,
              sum(CASE WHEN order_day < cut THEN p ELSE 0 END) AS pl, sum(n) AS nt, sum(p) AS pt
       FROM cuts, hg GROUP BY cut)
