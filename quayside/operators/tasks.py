@@ -71,3 +71,28 @@ def predict_revenue(X: DataFrame, regressor, **kw) -> DataFrame:
 def predict_quantity(X: DataFrame, regressor, **kw) -> DataFrame:
     """T4: predict ordered quantity on held-out lines."""
     return fit_predict(labelled(X, "quantity"), regressor, task="quantity", **kw)[0]
+
+
+def compare_classifiers(X: DataFrame, classifiers: dict, task: str, numeric=None,
+                        categorical=None, key: str = "order_key") -> DataFrame:
+    """Train every classifier on one shared front end, judge on held-out rows.
+
+    The source, the split and the feature front end are computed once; the
+    assembled train and test features are persisted and every classifier
+    reads them.  The metrics table (one row per model) is checkpointed before
+    the persisted features are released, so the result survives on its own.
+    """
+    from ..session import checkpoint
+    from .metrics import compare
+    numeric = list(numeric if numeric is not None else TASK_NUMERIC[task])
+    categorical = list(categorical if categorical is not None else ORDER_LINE_CATEGORICAL)
+    cols = [key, "label"] + numeric + categorical
+    train, test = split(labelled(X, task).select(*cols), key)
+    front = Pipeline(stages=feature_stages(numeric, categorical)).fit(train)
+    tr = front.transform(train).select(key, "label", "features").persist()
+    te = front.transform(test).select(key, "label", "features").persist()
+    preds = {(task, name): make().fit(tr).transform(te) for name, make in classifiers.items()}
+    out = checkpoint(compare(preds))
+    tr.unpersist()
+    te.unpersist()
+    return out

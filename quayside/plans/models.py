@@ -18,7 +18,7 @@ from ..operators.extra_trees import extra_trees
 from ..operators.knn import knn
 from ..operators.metrics import compare, confusion
 from ..operators.regression import linear_regression, poisson_regression, regression_metrics
-from ..operators.tasks import fit_predict, labelled
+from ..operators.tasks import compare_classifiers, fit_predict, labelled
 from ..sources.tables import order_lines
 from .queries import register
 
@@ -68,8 +68,8 @@ for _m in classifier_zoo():
 @register("fraud_compare")
 def q_fraud_compare(spark, sf_dir):
     """E1 on the fraud proxy: all nine classifiers, one metrics row each."""
-    preds = {("fraud", m): task_predictions(spark, sf_dir, "fraud", m) for m in classifier_zoo()}
-    return compare(preds)
+    return compare_classifiers(order_lines(spark, sf_dir), classifier_zoo(), "fraud",
+                               FRAUD_NUMERIC, FRAUD_CATEGORICAL)
 
 
 def _regression_query(task: str, estimator, numeric):
