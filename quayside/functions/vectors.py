@@ -1,39 +1,17 @@
-"""Column expressions over feature columns and arrays (all JVM-side)."""
+"""Column expressions shared by the classifiers (all JVM-side)."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Sum of squared differences of two equal-length numeric arrays."""
-    diffs = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double"))
-                       * (x.cast("double") - y.cast("double")))
-    return F.aggregate(diffs, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(squared_distance(a, b))
-
-
-def to_columns(df: DataFrame, vector_col: str, n: int, prefix: str = "f",
-               keep: list[str] | None = None) -> DataFrame:
-    """Spread an ml Vector column into double columns f0..f{n-1}."""
-    arr = vector_to_array(F.col(vector_col))
-    keep = keep if keep is not None else [c for c in df.columns if c != vector_col]
-    return df.select(*keep, *[arr[i].alias(f"{prefix}{i}") for i in range(n)])
-
-
 def argmax_label(scores: dict) -> Column:
     """Label with the largest score; a tie goes to the lower label.
 
     ``scores`` maps a numeric label to a score Column.  ``greatest`` over
     structs compares the score first and then the negated label.
     """
-    best = F.greatest(*[F.struct(s.alias("s"), F.lit(-float(k)).alias("k"))
-                        for k, s in scores.items()]) if len(scores) > 1 else \
-        F.struct(list(scores.values())[0].alias("s"),
-                 F.lit(-float(list(scores)[0])).alias("k"))
+    items = [F.struct(s.alias("s"), F.lit(-float(k)).alias("k")) for k, s in scores.items()]
+    best = F.greatest(*items) if len(items) > 1 else items[0]
     return -best["k"]
