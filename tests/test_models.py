@@ -159,3 +159,18 @@ def test_boosting_loss_falls_and_is_partition_independent(spark, planted):
     assert sig(m1) == sig(m2) == sig(m1b)
     for (_, l1), (_, l2) in zip(m1.trees, m2.trees):
         assert np.allclose(l1, l2, rtol=1e-9)
+
+
+def test_compare_classifiers_one_row_per_model(spark):
+    from quayside.operators.tasks import compare_classifiers
+    from quayside.sources import order_lines
+    from conftest import SF_SMALL
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    out = compare_classifiers(order_lines(spark, SF_SMALL),
+                              {"nb": C.gaussian_nb, "lr": lambda: C.logistic(maxIter=10)},
+                              "late", ["order_day", "l_quantity"], [])
+    rows = {r.model: r for r in out.collect()}
+    assert set(rows) == {"nb", "lr"}
+    assert all(r.task == "late" and r.n == rows["nb"].n > 0 for r in rows.values())
+    assert rows["nb"].accuracy > 0.6
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before   # features released
