@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, tokenfile, warc
+from . import mixing, packing, simhash, tokenfile, topk, warc
 from .common import scratch, table
 
 
@@ -20,6 +20,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, end_id=0)
@@ -33,4 +38,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_mixing, op6_token_files, op8_warc)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op4_mixing, op5_topk, op6_token_files, op8_warc, op10_simhash)}

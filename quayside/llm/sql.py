@@ -59,4 +59,18 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 FROM f
 """
 
-ORACLE_SQL = {"op4_mixing": OP4, "op8_warc": OP8}
+OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ranked AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score,
+         row_number() OVER (PARTITION BY a.vec_id
+           ORDER BY list_inner_product(a.q, b.q) DESC, b.vec_id) AS rank
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op5_topk": OP5, "op4_mixing": OP4, "op8_warc": OP8}
