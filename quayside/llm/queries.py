@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, tokenfile, topk, warc
+from . import linerules, mixing, packing, simhash, tokenfile, topk, warc
 from .common import scratch, table
 
 
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         carry=F.crc32, name="ids_crc32")
 
 
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.judge(table(spark, sf_dir, "documents")).drop("lost_chars", "clean_text")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.shares(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -45,4 +49,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op4_mixing, op5_topk, op6_token_files, op8_warc, op10_simhash)}
+    op1_packing, op2_line_rules, op4_mixing, op5_topk, op6_token_files, op8_warc, op10_simhash)}

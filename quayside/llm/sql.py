@@ -1,7 +1,50 @@
 """DuckDB forms of the corpus queries that SQL can express."""
 
+from .linerules import BOILERPLATE
+
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
+#: Plain loops over the same rules; windows are compared as word lists.
+OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+win AS (SELECT rid, i AS pos, words[i:i + 4] AS win
+        FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w
+              WHERE len(words) >= 5)),
+rep AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, win) AS n
+                              FROM win) WHERE n > 1),
+cov AS (SELECT rid, sum(least(5, coalesce(nxt - pos, 5)))::BIGINT AS n_repeat_words
+        FROM (SELECT rid, pos, lead(pos) OVER (PARTITION BY rid ORDER BY pos) AS nxt FROM rep)
+        GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+worded AS (SELECT *, regexp_replace(line, '[\x20\x09-\x0D]', '', 'g') AS bare FROM lines
+           WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged AS (
+  SELECT rid, line, length(bare) AS chars,
+    10 * len(regexp_extract_all(line, '[#*$%&|<>!]')) <= length(bare)
+    AND (len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) < 40
+         OR regexp_matches(line, '[.?:;,\x{2026}\x{3002}\x{061f}]'))
+    AND (len(regexp_extract_all(line, '[|\x{bb}\x{203a}\x{2022}\x{b7}]')) < 2
+         OR 10 * len(regexp_extract_all(line, '[|\x{bb}\x{203a}\x{2022}\x{b7}]'))
+            < len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')))
+    AND NOT regexp_matches(lower(line), '@BOILERPLATE@') AS good
+  FROM worded),
+per AS (SELECT rid, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines,
+               sum(CASE WHEN good THEN 0 ELSE chars END)::BIGINT AS lost
+        FROM judged GROUP BY rid),
+m AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM w LEFT JOIN cov USING (rid) LEFT JOIN per USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND lost <= 0.5::DOUBLE * word_chars AS kept
+FROM b
+""".replace("@BOILERPLATE@", "|".join(BOILERPLATE))
+
 OP4 = f"""
 WITH sizes AS (
   SELECT doc_id, source, {_SIZE}::BIGINT AS size,
@@ -73,4 +116,4 @@ ranked AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op5_topk": OP5, "op4_mixing": OP4, "op8_warc": OP8}
+ORACLE_SQL = {"op2_line_rules": OP2, "op5_topk": OP5, "op4_mixing": OP4, "op8_warc": OP8}
