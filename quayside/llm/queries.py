@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linerules, mixing, packing, simhash, tokenfile, topk, warc
+from . import linerules, mixing, packing, simhash, tokenfile, topk, warc, weakquality
 from .common import scratch, table
 
 
@@ -35,6 +35,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path, carry=F.crc32, name="ids_crc32")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weakquality.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -49,4 +53,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_line_rules, op4_mixing, op5_topk, op6_token_files, op8_warc, op10_simhash)}
+    op1_packing, op2_line_rules, op4_mixing, op5_topk, op6_token_files, op7_quality, op8_warc, op10_simhash)}
