@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linerules, mixing, packing, simhash, tokenfile, topk, warc, weakquality
+from . import linerules, mixing, packing, simhash, tokenfile, topk, toxicity, warc, weakquality
 from .common import scratch, table
 
 
@@ -46,6 +46,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -53,4 +57,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_line_rules, op4_mixing, op5_topk, op6_token_files, op7_quality, op8_warc, op10_simhash)}
+    op1_packing, op2_line_rules, op4_mixing, op5_topk, op6_token_files, op7_quality,
+    op8_warc, op9_toxicity, op10_simhash)}
