@@ -9,7 +9,7 @@ as a model's own training rows would make them look better than they are.
 The chain's default order is insult, contempt, toxic.  Toxic is the given
 label; a toxic training row is an insult or contempt if it has one of that
 category's seed words, which only label rows: the models learn from all words.
-Features are a text's distinct lower-case words and their beginnings of 4 to 7
+Features are a text's distinct lower-case words and their beginnings of 4 to 9
 letters, so inflected forms count too.  A model reads the features that speak
 for its category (support and log-odds on its own training rows).
 
@@ -49,7 +49,7 @@ CHAIN = ("insult", "contempt", "toxic")
 
 
 def word_features(word: str) -> list[int]:
-    parts = [word, *(f"{word[:n]}~" for n in range(4, 8) if len(word) >= n)]
+    parts = [word, *(f"{word[:n]}~" for n in range(4, 10) if len(word) >= n)]
     return [xxhash.xxh32_intdigest(p) % BUCKETS for p in parts]
 
 
@@ -96,7 +96,7 @@ def _clip(p):
 
 
 def fit_link(rows: list[np.ndarray], labels: np.ndarray, earlier: np.ndarray, support: int = 8,
-             log_odds: float = 3.0, most: int = 4000) -> Link:
+             log_odds: float = 2.5, most: int = 4000) -> Link:
     """Fit one model; ``earlier`` has a column of probabilities per category
     before it."""
     rate = float(_clip(labels.mean())) if len(labels) else 1e-3

@@ -2,10 +2,10 @@
 
 Heuristic labellers vote junk, good or nothing on each document.  The votes of
 all documents are counted by pattern (at most 2^labellers rows), and
-expectation-maximisation on the counts estimates each labeller's accuracy.  The posterior of a document's vote
-pattern is its training label.  A linear scorer on hashed features of words,
-word shapes and whole-text ratios is trained on a bounded sample of documents
-with those labels (``sample_rows`` a class, chosen by a hash of the id) and
+expectation-maximisation on the counts estimates each labeller's accuracy.
+The posterior of a document's vote pattern is its training label.  A linear
+scorer on hashed features of words, word shapes and whole-text ratios is
+trained on a bounded sample of documents with those labels (``sample_rows`` a class, chosen by a hash of the id) and
 scores every document.
 
 Defined cases: null and empty texts have no words; they are junk; documents
@@ -53,8 +53,8 @@ def ratios(text: Column) -> dict[str, Column]:
                 r"(?<![^\x20\x09-\x0D])\p{L}+[.,;:?!]?(?![^\x20\x09-\x0D])")) / some,
             # words that repeat the one before, by a back-reference
             "echoes": F.regexp_count(text, F.lit(
-                r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?=[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D]))"
-            )) / some}
+                r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)"
+                r"(?=[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D]))")) / some}
 
 
 def votes(r: dict[str, Column]) -> dict[str, Column]:
