@@ -168,12 +168,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record of a file."""
-    while content:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(content)
-        if not z.eof:
-            raise ValueError("the archive is cut short")
-        content = z.unused_data
+    view, at = memoryview(content), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:   # bounded windows, so that little is copied per member
+            if at >= len(view):
+                raise ValueError("the archive is cut short")
+            window = view[at:at + 65_536]
+            parts.append(z.decompress(window))
+            at += len(window) - len(z.unused_data)
+        raw = b"".join(parts)
         if not raw:
             continue
         head, _, rest = raw.partition(b"\r\n\r\n")
