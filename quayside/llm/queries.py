@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linerules, mixing, packing, simhash, tokenfile, topk, toxicity, warc, weakquality
+from . import linerules, mixing, packing, pii, simhash, tokenfile, topk, toxicity, warc, weakquality
 from .common import scratch, table
 
 
@@ -19,6 +19,17 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.judge(table(spark, sf_dir, "documents")).drop("lost_chars", "clean_text")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in pii.KINDS],
+                        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.shares(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -57,5 +68,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_line_rules, op4_mixing, op5_topk, op6_token_files, op7_quality,
+    op1_packing, op2_line_rules, op3_pii, op4_mixing, op5_topk, op6_token_files, op7_quality,
     op8_warc, op9_toxicity, op10_simhash)}
