@@ -22,66 +22,115 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .tokens import slices
 
-BUCKETS = 1 << 16
-ADDED = ("share of words equal to the one before", "symbols by word", "bars by word",
-         "exclamation marks by word", "upper-case share of letters", "distinct share of words",
-         "no word")
+BUCKETS, SHAPES = 1 << 16, 4096
+#: Whole-text ratios: all by word but the last two, by character and letter.
+RATIOS = ("symbols", "bars", "shouts", "plain", "echoes", "letters", "upper")
+WIDTH = BUCKETS + SHAPES + len(RATIOS) + 1      # and "no word"
+SYMBOLS = frozenset("#*$%&<>")
+MARKS = frozenset(".,;:?!")
+
+
+# --- texts as word tables --------------------------------------------------
+
+def shape(word: str) -> str:
+    """Letters by case, digits and the marks themselves, runs collapsed."""
+    out = []
+    for c in word[:64]:
+        k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        if not out or out[-1] != k:
+            out.append(k)
+    return "".join(out)
+
+
+def word_buckets(word: str) -> tuple[int, int]:
+    return (xxhash.xxh32_intdigest(word.lower()) % BUCKETS,
+            BUCKETS + xxhash.xxh32_intdigest(shape(word), 1) % SHAPES)
+
+
+def word_counts(word: str) -> tuple[int, ...]:
+    """1, characters, letters, capitals, symbols, bars, exclamation marks, and
+    whether it is letters with at most one common mark after them."""
+    if not word:
+        return (0,) * 8
+    if word.isalpha() and word.islower():
+        return (1, len(word), len(word), 0, 0, 0, 0, 1)
+    bare = word[:-1] if word[-1] in MARKS else word
+    return (1, len(word), sum(map(str.isalpha, word)), sum(map(str.isupper, word)),
+            sum(c in SYMBOLS for c in word), word.count("|"), word.count("!"),
+            int(bare.isalpha()))
+
+
+class WordTable:
+    """Words of texts, numbered by distinct word: ``at[ends[i-1]:ends[i]]``
+    are the numbers of text i's words.  What is known of a word is looked up
+    once per distinct word of a slice, and kept in ``cache``."""
+
+    def __init__(self, texts: pa.Array, cache: dict, make, cache_entries: int = 400_000):
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        lists = pc.ascii_split_whitespace(texts)    # the six ASCII characters
+        numbered = lists.values.dictionary_encode()
+        self.at = numbered.indices.to_numpy()
+        self.cuts = lists.offsets.to_numpy()
+        known = []
+        for w in numbered.dictionary.to_pylist():
+            got = cache.get(w)
+            if got is None:
+                got = make(w)
+                if len(cache) < cache_entries:
+                    cache[w] = got
+            known.append(got)
+        self.known = np.array(known, dtype=float).reshape(len(known), -1)
+
+    def sums(self) -> np.ndarray:
+        """Per text, the sums of what is known over its words."""
+        run = np.zeros((len(self.at) + 1, self.known.shape[1]))
+        np.cumsum(self.known[self.at], axis=0, out=run[1:])
+        return run[self.cuts[1:]] - run[self.cuts[:-1]]
+
+    def echoes(self) -> np.ndarray:
+        """Per text, how many words repeat the one before."""
+        same = np.zeros(len(self.at) + 1, dtype=np.int64)
+        same[2:] = self.at[1:] == self.at[:-1]
+        inside = self.cuts[:-1][self.cuts[:-1] < self.cuts[1:]]
+        same[inside + 1] = 0    # a text's first word repeats none
+        run = np.cumsum(same)
+        return run[self.cuts[1:]] - run[self.cuts[:-1]]
+
+
+def ratios(sums: np.ndarray, echoes: np.ndarray) -> np.ndarray:
+    """A row of RATIOS per text (those that can be large are held at 3)."""
+    words, chars, letters, upper, symbols, bars, shouts, plain = sums[:, :8].T
+    some = np.maximum(words, 1)
+    return np.stack([np.minimum(symbols / some, 3), np.minimum(bars / some, 3),
+                     np.minimum(shouts / some, 3), plain / some, echoes / some,
+                     letters / np.maximum(chars, 1), upper / np.maximum(letters, 1)], axis=1)
 
 
 # --- labellers -------------------------------------------------------------
 
-def ratios(text: Column) -> dict[str, Column]:
-    """Whole-text ratios of a document, as column expressions."""
-    size = F.length(text)
-    solid = F.length(F.translate(text, " \t\n\x0b\f\r", ""))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    words = F.regexp_count(text, F.lit(WORD))
-    some = F.greatest(words, F.lit(1))
-    gone = lambda chars: size - F.length(F.translate(text, chars, ""))
-    return {"words": words, "symbols": gone("#*$%&<>") / some, "bars": gone("|") / some,
-            "shouts": gone("!") / some, "letters": letters / F.greatest(solid, F.lit(1)),
-            "upper": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
-            / F.greatest(letters, F.lit(1)),
-            # words of letters with at most one common mark after them
-            "plain": F.regexp_count(text, F.lit(
-                r"(?<![^\x20\x09-\x0D])\p{L}+[.,;:?!]?(?![^\x20\x09-\x0D])")) / some,
-            # words that repeat the one before, by a back-reference
-            "echoes": F.regexp_count(text, F.lit(
-                r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)"
-                r"(?=[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D]))")) / some}
-
-
-def votes(r: dict[str, Column]) -> dict[str, Column]:
-    """-1 junk, 1 good, 0 no vote.  They overlap on purpose."""
-    junk = lambda when: F.when(when, F.lit(-1)).otherwise(F.lit(0))
-    good = lambda when: F.when(when, F.lit(1)).otherwise(F.lit(0))
-    quiet = (r["upper"] < 0.3) & (r["echoes"] < 0.1)
-    return {
-        "empty": junk(r["words"] == 0), "symbols": junk(r["symbols"] > 0.3),
-        "bars": junk(r["bars"] > 0.15), "shouts": junk(r["shouts"] > 0.3),
-        "upper": junk((r["upper"] > 0.5) & (r["words"] > 3)),
-        "letters": junk(r["letters"] < 0.7),
-        "echoes": junk((r["echoes"] > 0.2) & (r["words"] > 3)),
-        "prose": good((r["plain"] > 0.8) & quiet),
-        "sparse marks": good((r["symbols"] + r["bars"] + r["shouts"] < 0.1)
-                             & (r["letters"] > 0.8) & quiet),
-    }
-
-
-def voted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and votes (in the order of the labellers, comma-joined)."""
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                     F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = ratios(F.col("text"))
-    df = df.select("doc_id", "text", *[c.alias(f"r_{k}") for k, c in made.items()])
-    got = votes({k: F.col(f"r_{k}") for k in made})
-    return df.select("doc_id", "text", F.concat_ws(",", *got.values()).alias("votes"))
+def votes(sums: np.ndarray, echoes: np.ndarray) -> np.ndarray:
+    """Per text and labeller: -1 junk, 1 good, 0 no vote.  The labellers
+    overlap on purpose: empty, symbols, bars, shouts, capitals, letters,
+    echoes, prose, few marks."""
+    words = sums[:, 0]
+    symbols, bars, shouts, plain, echo, letters, upper = ratios(sums, echoes).T
+    quiet = (upper < 0.3) & (echo < 0.1)
+    junk = [words == 0, symbols > 0.3, bars > 0.15, shouts > 0.3, (upper > 0.5) & (words > 3),
+            (letters < 0.7) & (words > 0), (echo > 0.2) & (words > 3)]
+    good = [(plain > 0.8) & quiet, (symbols + bars + shouts < 0.1) & (letters > 0.8) & quiet]
+    return np.stack([*(-j.astype(np.int64) for j in junk), *(g.astype(np.int64) for g in good)],
+                    axis=1)
+
+
+def pattern(row: np.ndarray) -> str:
+    return ",".join(map(str, row.tolist()))
 
 
 # --- the label model -------------------------------------------------------
@@ -117,48 +166,17 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
 
 # --- the scorer ------------------------------------------------------------
 
-def shape(word: str) -> str:
-    """Letters by case, digits and the marks themselves, runs collapsed."""
-    out = []
-    for c in word[:64]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
-
-
-def word_buckets(word: str) -> tuple[int, int]:
-    low = word.lower()
-    return (xxhash.xxh32_intdigest(low) % BUCKETS,
-            BUCKETS + xxhash.xxh32_intdigest(shape(word), 1) % 4096)
-
-
-WIDTH = BUCKETS + 4096 + len(ADDED)
-
-
-def words_of(text: str) -> list[str]:
-    return [w.decode() for w in text.encode().split()]
-
-
-def whole_text(text: str, words: list[str]) -> list[float]:
-    n = max(1, len(words))
-    letters = sum(map(str.isalpha, text)) or 1
-    return [sum(map(str.__eq__, words, words[1:])) / n,
-            min(3.0, sum(map(text.count, "#*$%&<>")) / n), min(3.0, text.count("|") / n),
-            min(3.0, text.count("!") / n), sum(map(str.isupper, text)) / letters,
-            len(set(words)) / n if n > 20 else 1.0, float(not words)]
-
-
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed feature indices and values; word features share a total of 1
-    each for identity and shape."""
-    words = words_of(text)
+def features(table: WordTable, words: list[tuple[int, int]], i: int, extra: np.ndarray):
+    """Hashed feature indices and values of text ``i``; word features share a
+    total of 1 each for identity and shape."""
+    at = table.at[table.cuts[i]:table.cuts[i + 1]]
     found: dict[int, float] = {}
-    for w in words:
-        for b in word_buckets(w):
-            found[b] = found.get(b, 0.0) + 1 / len(words)
-    for i, v in enumerate(whole_text(text, words)):
-        found[BUCKETS + 4096 + i] = v
+    real = [words[u] for u in at.tolist() if words[u] is not None]
+    for pair in real:
+        for b in pair:
+            found[b] = found.get(b, 0.0) + 1 / len(real)
+    for k, v in enumerate([*extra.tolist(), float(not real)]):
+        found[BUCKETS + SHAPES + k] = v
     return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), float, len(found))
 
 
@@ -190,34 +208,64 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Weights of the scorer (positive: junk).  All documents' votes are
     counted; at most about ``sample_rows`` documents a class are collected as
     hashed features."""
-    base = voted(docs, id_col, text_col)
-    counted = base.groupBy("votes").count().collect()   # one row per vote pattern
+    draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    base = docs.select(draw.alias("draw"), F.col(text_col).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for batch in batches:
+            found: dict[str, int] = {}
+            for a, b in slices(batch.column(0).to_pylist()):
+                table = WordTable(batch.column(0).slice(a, b - a), cache, word_counts)
+                rows, n = np.unique(votes(table.sums(), table.echoes()), axis=0,
+                                    return_counts=True)
+                for row, k in zip(rows, n.tolist()):
+                    found[pattern(row)] = found.get(pattern(row), 0) + k
+            yield pa.RecordBatch.from_pydict(
+                {"votes": pa.array(found, pa.string()),
+                 "n": pa.array(found.values(), pa.int64())})
+
+    counted = (base.select("text").mapInArrow(count, "votes string, n long").groupBy("votes")
+               .agg(F.sum("n").alias("n")).collect())    # one row per vote pattern
     constant = np.zeros(WIDTH + 1)
     if not counted:
         constant[-1] = -1.0
         return constant
+    counted.sort(key=lambda r: r["votes"])
     patterns = np.array([[int(v) for v in r["votes"].split(",")] for r in counted])
-    counts = np.array([r["count"] for r in counted], dtype=float)
+    counts = np.array([r["n"] for r in counted], dtype=float)
     junk, _ = label_model(patterns, counts)
     known = {r["votes"]: p for r, p in zip(counted, junk) if p != 0.5}
     # a class's documents are sampled at a rate set by its size; those without
     # a vote are no training rows
     sizes = {c: counts[(junk > 0.5) == c].sum() for c in (True, False)}
-    rates = F.create_map(*[F.lit(x) for k, p in known.items() for x in (
-        k, min(1.0, sample_rows / sizes[bool(p > 0.5)]))]) if known else F.lit(None)
-    rate = F.coalesce(rates[F.col("votes")], F.lit(0.0)) if known else F.lit(0.0)
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    rates = {k: min(1.0, sample_rows / sizes[bool(p > 0.5)]) for k, p in known.items()}
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column(1)]
+            out = []
+            drawn = batch.column(0).to_numpy()
+            texts = batch.column(1)
+            for a, b in slices(texts.to_pylist()):
+                part = texts.slice(a, b - a)
+                table = WordTable(part, cache, lambda w: (
+                    *word_counts(w), *(word_buckets(w) if w else (-1, -1))))
+                pairs = [(int(r[8]), int(r[9])) if r[8] >= 0 else None for r in table.known]
+                sums, echoes = table.sums(), table.echoes()
+                extra = ratios(sums, echoes)
+                for i, row in enumerate(votes(sums, echoes)):
+                    if drawn[a + i] < rates.get(pattern(row), 0.0):
+                        out.append((pattern(row), *features(table, pairs, i, extra[i])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                 pa.array([f[1] for f in found], pa.list_(pa.float64()))],
+                [pa.array([o[0] for o in out], pa.string()),
+                 pa.array([o[1] for o in out], pa.list_(pa.int64())),
+                 pa.array([o[2] for o in out], pa.list_(pa.float64()))],
                 names=["votes", "at", "value"])
 
-    chosen = base.where(draw < rate).select("votes", "text").mapInArrow(
+    chosen = base.where(F.col("draw") < max(rates.values(), default=0.0)).mapInArrow(
         extract, "votes string, at array<long>, value array<double>").collect()
+    chosen.sort(key=lambda r: (r["votes"], r["at"], r["value"]))  # the order does not matter then
     labels = np.array([known[r["votes"]] for r in chosen])
     if len(chosen) == 0 or (labels > 0.5).all() or (labels <= 0.5).all():
         constant[-1] = 1.0 if np.dot(junk, counts) > counts.sum() / 2 else -1.0
@@ -227,30 +275,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Scorer:
-    """Scores texts with the trained weights; a word's two weights are looked
-    up once per worker."""
-
-    def __init__(self, weights: np.ndarray, cache_entries: int = 400_000):
-        self.w, self.cache, self.cache_entries = weights, {}, cache_entries
-
-    def word(self, word: str) -> float:
-        a, b = word_buckets(word)
-        got = float(self.w[a] + self.w[b])
-        if len(self.cache) < self.cache_entries:
-            self.cache[word] = got
-        return got
-
-    def score(self, text: str) -> float:
-        """Probability of junk."""
-        words = words_of(text)
-        known = self.cache
-        total = 0.0
-        for w in words:
-            got = known.get(w)
-            total += self.word(w) if got is None else got
-        z = total / max(1, len(words)) + float(self.w[-1])
-        z += float(np.dot(self.w[BUCKETS + 4096:WIDTH], whole_text(text, words)))
-        return float(1 / (1 + np.exp(-min(500.0, max(-500.0, z)))))
+    """Scores texts with the trained weights; a word's weights are looked up
+    once per distinct word of a slice."""
+
+    def __init__(self, weights: np.ndarray):
+        self.w, self.cache = weights, {}
+
+    def _word(self, word: str) -> tuple:
+        weight = sum(self.w[b] for b in word_buckets(word)) if word else 0.0
+        return (*word_counts(word), weight)
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """Probability of junk of each text."""
+        out = [np.zeros(0)]
+        for a, b in slices(texts.to_pylist()):
+            table = WordTable(texts.slice(a, b - a), self.cache, self._word)
+            sums, echoes = table.sums(), table.echoes()
+            z = sums[:, 8] / np.maximum(sums[:, 0], 1) + self.w[-1]
+            z += ratios(sums, echoes) @ self.w[BUCKETS + SHAPES:WIDTH - 1]
+            z += (sums[:, 0] == 0) * self.w[WIDTH - 1]
+            out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return np.concatenate(out)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -262,9 +307,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights.value)
         for batch in batches:
-            p = [scorer.score(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())],
-                                             names=["doc_id", "p_junk"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(scorer.score(batch.column(1)))],
+                names=["doc_id", "p_junk"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, p_junk double").withColumn(
@@ -281,7 +326,6 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights.value)
         for batch in batches:
-            good = [scorer.score(t.as_py() or "") <= threshold for t in batch.column(at)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            yield batch.filter(pa.array(scorer.score(batch.column(at)) <= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -42,12 +42,39 @@ def test_label_model_recovers_accuracies():
     assert ((made > 0.5) == truth)[made != 0.5].mean() > 0.93
 
 
+def plain_ratios(text):
+    words = [w.decode() for w in (text or "").encode().split()]
+    n, joined = max(1, len(words)), "".join(words)
+    letters = sum(map(str.isalpha, joined))
+    marked = [w[:-1] if w[-1] in ".,;:?!" else w for w in words]
+    return [min(3, sum(c in "#*$%&<>" for c in joined) / n), min(3, joined.count("|") / n),
+            min(3, joined.count("!") / n), sum(map(str.isalpha, marked)) / n,
+            sum(a == b for a, b in zip(words, words[1:])) / n,
+            letters / max(1, len(joined)), sum(map(str.isupper, joined)) / max(1, letters)]
+
+
+TEXTS = [helpers.PROSE, "", None, "a a", "a", " a a a\n\x0b", "B!! B!! É", *JUNK, "x y", "y x x"]
+
+
+def test_word_tables_equal_plain_loops():
+    import pyarrow as pa
+    table = wq.WordTable(pa.array(TEXTS), {}, wq.word_counts)
+    got = wq.ratios(table.sums(), table.echoes())
+    assert np.allclose(got, [plain_ratios(t) for t in TEXTS])
+
+
 def test_features_and_scorer_agree():
+    import pyarrow as pa
     w = np.random.default_rng(0).normal(size=wq.WIDTH + 1)
-    for text in (helpers.PROSE, "", "a a B!!", JUNK[0]):
-        at, value = wq.features(text)
-        z = (w[at] * value).sum() + w[-1]
-        assert wq.Scorer(w).score(text) == pytest.approx(1 / (1 + np.exp(-z)))
+    texts = pa.array(TEXTS)
+    table = wq.WordTable(texts, {}, wq.word_counts)
+    words = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, "")
+                                              ).values.dictionary_encode().dictionary.to_pylist()
+    pairs = [wq.word_buckets(x) if x else None for x in words]
+    extra = wq.ratios(table.sums(), table.echoes())
+    for i, p in enumerate(wq.Scorer(w).score(texts)):
+        at, value = wq.features(table, pairs, i, extra[i])
+        assert p == pytest.approx(1 / (1 + np.exp(-(w[at] * value).sum() - w[-1])))
 
 
 def test_junk_goes_and_good_stays(spark):
