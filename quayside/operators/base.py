@@ -1,8 +1,8 @@
 """Base classes so the DataFrame-built classifiers plug into ``Pipeline``.
 
-The classifiers Spark ML lacks are written as plain DataFrame aggregates
-over feature *columns*; these wrappers spread the assembled ``features``
-vector into columns f0..f{d-1} (a narrow projection) and back.
+The classifiers Spark ML lacks work on numeric *columns* or on one
+``array<double>`` column; these wrappers go from the assembled ``features``
+vector to either form with a narrow projection.
 """
 
 from __future__ import annotations
@@ -10,17 +10,23 @@ from __future__ import annotations
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def vector_size(df: DataFrame, col: str) -> int:
-    """Length of a vector column, from its metadata or from one row."""
+    """Length of a vector column, from its metadata or else from all rows.
+    Rows of different lengths are an error."""
     meta = df.schema[col].metadata.get("ml_attr", {})
     if "num_attrs" in meta:
         return int(meta["num_attrs"])
-    row = df.select(F.size(vector_to_array(F.col(col))).alias("d")).first()
-    return int(row["d"])
+    n = F.size(vector_to_array(F.col(col)))
+    row = df.agg(F.min(n).alias("lo"), F.max(n).alias("hi")).first()
+    if row["lo"] is None:
+        raise ValueError(f"no rows to take the length of {col} from")
+    if row["lo"] != row["hi"]:
+        raise ValueError(f"{col} has vectors of {row['lo']} to {row['hi']} values")
+    return int(row["hi"])
 
 
 def spread(df: DataFrame, col: str, d: int, prefix: str = "f") -> tuple[DataFrame, list[str]]:
@@ -29,6 +35,10 @@ def spread(df: DataFrame, col: str, d: int, prefix: str = "f") -> tuple[DataFram
     return df.select("*", *[arr[i].alias(n) for i, n in enumerate(names)]), names
 
 
+def as_array(cols: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in cols])
+
+
 class ColumnEstimator(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
     """An estimator whose core fit works on numeric columns."""
 

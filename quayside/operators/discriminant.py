@@ -7,9 +7,8 @@ reach the driver, where the d x d pooled covariance is solved with numpy.
 Scoring is one linear expression per class plus an arg-max: a narrow,
 codegen'd projection.
 
-Up to ``AGG_LIMIT`` features the cross-products are plain aggregate
-expressions; beyond that each partition forms its partial cross-product
-matrix with numpy in ``mapInPandas`` and the partials are summed per class.
+Each partition forms its cross-product matrices with numpy and the partials
+are summed per class, for any number of features.
 (Spark's ``ml.clustering.LDA`` is a topic model, hence the name here.)
 """
 
@@ -24,8 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax_label
 from .base import ColumnEstimator
-
-AGG_LIMIT = 40
+from .moments import cross_moments
 
 
 @dataclass
@@ -55,63 +53,10 @@ class DiscriminantModel:
         return df.withColumn(prediction, self.predict_column(cols))
 
 
-def _scatter_agg(df, cols, label, mean):
-    c = [F.col(x) - F.lit(m) for x, m in zip(cols, mean)]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(c[i]).alias(f"s{i}") for i in range(len(cols))]
-    aggs += [F.sum(c[i] * c[j]).alias(f"c{i}_{j}")
-             for i in range(len(cols)) for j in range(i, len(cols))]
-    rows = df.groupBy(F.col(label).cast("double").alias("y")).agg(*aggs).collect()
-    d = len(cols)
-    out = {}
-    for r in rows:
-        cp = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                cp[i, j] = cp[j, i] = r[f"c{i}_{j}"]
-        out[r["y"]] = (r["n"], np.array([r[f"s{i}"] for i in range(d)]), cp)
-    return out
-
-
-def _scatter_pandas(df, cols, label, mean):
-    d = len(cols)
-    mu = np.asarray(mean)
-
-    def partial(batches):
-        import pandas as pd
-        acc = {}
-        for pdf in batches:
-            for y, g in pdf.groupby("y"):
-                x = g[cols].to_numpy(dtype=float) - mu
-                n, s, cp = acc.get(y, (0, np.zeros(d), np.zeros((d, d))))
-                acc[y] = (n + len(x), s + x.sum(0), cp + x.T @ x)
-        for y, (n, s, cp) in acc.items():
-            yield pd.DataFrame({"y": [float(y)], "n": [int(n)],
-                                "s": [s.tolist()], "cp": [cp.ravel().tolist()]})
-
-    parts = df.select(F.col(label).cast("double").alias("y"), *cols).mapInPandas(
-        partial, "y double, n bigint, s array<double>, cp array<double>")
-    # sum the per-partition partials by class, element by element
-    sums = (parts.select("y", "n", F.posexplode(F.concat("s", "cp")).alias("i", "v"))
-            .groupBy("y", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")))
-    rows = sums.collect()
-    out = {}
-    for r in rows:
-        y = r["y"]
-        if y not in out:
-            out[y] = [0, np.zeros(d + d * d)]
-        out[y][1][r["i"]] = r["v"]
-        if r["i"] == 0:
-            out[y][0] = r["n"]
-    return {y: (n, v[:d], v[d:].reshape(d, d)) for y, (n, v) in out.items()}
-
-
 def discriminant_fit(df: DataFrame, cols: list[str], label: str = "label",
                      ridge: float = 1e-9) -> DiscriminantModel:
     d = len(cols)
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    mean = np.array([means[c] for c in cols], dtype=float)
-    stats = (_scatter_agg if d <= AGG_LIMIT else _scatter_pandas)(df, cols, label, mean)
+    mean, stats = cross_moments(df, cols, label)
     labels = sorted(stats)
     n_total = sum(stats[k][0] for k in labels)
     K = len(labels)

@@ -1,49 +1,75 @@
-"""Feature front end: index, one-hot, assemble and scale, fitted on train.
+"""Feature front end: dummy-code, scale and assemble, fitted on train.
 
-All stages are Spark ML transformers.  ``StringIndexer`` learns the level
-list with a distributed count (only distinct levels reach the driver) and
-``StandardScaler`` learns means and deviations with one summary aggregate,
-so fitting costs two passes over the training rows and applying is a narrow
-projection.
+Fitting takes one aggregate for the numeric means and deviations and one
+distinct count per categorical column; applying is one narrow projection.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import (OneHotEncoder, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A categorical column with more levels than this is refused, not cut: its
+#: dummies would be a feature vector of that length in every row.
+MAX_LEVELS = 10_000
+
+
+class FeatureFront(Estimator):
+    """Numeric columns (standardised if ``scale``) and categorical dummies.
+
+    The first level in order is the reference and has no dummy, so the
+    dummies and an intercept are not collinear.  A level unseen in training,
+    and null, get all-zero dummies like the reference.  Dummies are left
+    unscaled.  A numeric column without variance becomes 0."""
+
+    def __init__(self, numeric: list[str], categorical: list[str] = (), scale: bool = True,
+                 output: str = "features"):
+        super().__init__()
+        self.numeric, self.categorical = list(numeric), list(categorical)
+        self.scale, self.output = scale, output
+
+    def _fit(self, dataset: DataFrame) -> "FeatureModel":
+        moments = [(0.0, 1.0)] * len(self.numeric)
+        if self.scale and self.numeric:
+            r = dataset.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(self.numeric)
+                              for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+            moments = [(r[f"m{i}"] or 0.0, r[f"s{i}"] or 0.0) for i in range(len(self.numeric))]
+        levels = {}
+        for c in self.categorical:
+            found = [r[0] for r in dataset.select(F.col(c).cast("string")).where(
+                F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
+            if len(found) > MAX_LEVELS:
+                raise ValueError(f"{c} has more than {MAX_LEVELS} levels; hash or group them")
+            levels[c] = sorted(found)
+        return FeatureModel(self.numeric, moments, levels, self.output)
+
+
+class FeatureModel(Model):
+    def __init__(self, numeric, moments, levels, output):
+        super().__init__()
+        self.numeric, self.moments, self.levels, self.output = numeric, moments, levels, output
+
+    @property
+    def names(self) -> list[str]:
+        return self.numeric + [f"{c}={v}" for c, found in self.levels.items() for v in found[1:]]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        parts = [F.array(*[(F.col(c).cast("double") - m) / s if s else F.col(c).cast("double") * 0.0
+                           for c, (m, s) in zip(self.numeric, self.moments)])]
+        parts += [_dummies(F.col(c), found) for c, found in self.levels.items() if len(found) > 1]
+        vector = array_to_vector(F.concat(*parts))
+        meta = {"ml_attr": {"num_attrs": len(self.names)}}
+        return dataset.withColumn(self.output, vector.alias(self.output, metadata=meta))
+
+
+def _dummies(value, levels):
+    return F.transform(F.array(*[F.lit(v) for v in levels[1:]]), lambda v: F.coalesce(
+        (v == value.cast("string")).cast("double"), F.lit(0.0)))
 
 
 def feature_stages(numeric: list[str], categorical: list[str] = (),
                    scale: bool = True, output: str = "features") -> list:
-    """Stages turning numeric and categorical columns into one vector.
-
-    One-hot encoding drops the last level (so linear models and the
-    discriminant see a full-rank design); unseen levels at prediction time
-    map to an extra all-zero slot instead of failing.
-    """
-    stages = []
-    idx = [f"{c}__idx" for c in categorical]
-    ohe = [f"{c}__ohe" for c in categorical]
-    if categorical:
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx,
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True,
-                                    handleInvalid="keep"))
-    raw = output if not scale else f"{output}__raw"
-    stages.append(VectorAssembler(inputCols=list(numeric) + ohe, outputCol=raw,
-                                  handleInvalid="error"))
-    if scale:
-        stages.append(StandardScaler(inputCol=raw, outputCol=output,
-                                     withMean=True, withStd=True))
-    return stages
-
-
-def feature_pipeline(numeric: list[str], categorical: list[str] = (),
-                     scale: bool = True, output: str = "features") -> Pipeline:
-    return Pipeline(stages=feature_stages(numeric, categorical, scale, output))
-
-
-def fit_features(train, numeric, categorical=(), scale=True, output="features"):
-    """Fit the front end on ``train`` only (no leak from the test rows)."""
-    return feature_pipeline(numeric, categorical, scale, output).fit(train)
+    """Stages turning numeric and categorical columns into one vector."""
+    return [FeatureFront(numeric, categorical, scale, output)]

@@ -16,6 +16,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .moments import cross_moments
+
 
 @dataclass
 class OLSModel:
@@ -35,21 +37,12 @@ class OLSModel:
 
 
 def ols_fit(df: DataFrame, cols: list[str], target: str, ridge: float = 0.0) -> OLSModel:
-    """Least squares with intercept: two aggregates, a d x d solve on the driver."""
+    """Least squares with intercept: two passes, a d x d solve on the driver."""
     d = len(cols)
-    m = df.agg(*[F.avg(c).alias(c) for c in cols + [target]]).first()
-    mx = np.array([m[c] for c in cols], dtype=float)
-    my = float(m[target])
-    xc = [F.col(c) - F.lit(float(v)) for c, v in zip(cols, mx)]
-    yc = F.col(target) - F.lit(my)
-    aggs = [F.sum(xc[i] * xc[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    aggs += [F.sum(xc[i] * yc).alias(f"y{i}") for i in range(d)]
-    r = df.agg(*aggs).first()
-    xtx = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            xtx[i, j] = xtx[j, i] = r[f"c{i}_{j}"]
-    xty = np.array([r[f"y{i}"] for i in range(d)])
+    mean, stats = cross_moments(df, [*cols, target])
+    _, _, cross = stats[0.0]
+    xtx, xty = cross[:d, :d], cross[:d, d]
+    mx, my = mean[:d], float(mean[d])
     coef = np.linalg.solve(xtx + ridge * np.eye(d), xty)
     return OLSModel(list(cols), coef, my - float(mx @ coef))
 
