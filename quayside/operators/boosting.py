@@ -2,58 +2,85 @@
 
 The objective is the logistic loss with its gradient g = p - y and hessian
 h = p(1 - p) (Chen & Guestrin, 2016).  Features are binned once from
-approximate quantiles (edges are model-sized); each round grows one tree
-level by level:
+quantiles (edges are model-sized); each round grows one tree level by level:
 
-* one ``groupBy(node, feature, bin)`` sums g and h (partial aggregation:
-  each task ships at most nodes x features x bins rows);
+* each task walks its rows down the trees grown so far and sums g and h by
+  (node, feature, bin) with numpy; one ``groupBy`` adds the tasks' sums.
+  The sums are whole numbers of 2**-32, so their order cannot change them
+  and the trees do not depend on partitioning;
 * on that small histogram a running ``Window`` sum over bins gives G_L and
   H_L, and gain = ½[G_L²/(H_L+λ) + G_R²/(H_R+λ) - G²/(H+λ)] - γ;
 * the best split per node (rank-limited window) reaches the driver, at most
-  2**depth rows, and advances every row's node by one folded expression;
-* leaves get weight -η·G/(H+λ); the margin column is updated and the rows
-  are checkpointed once per round.
+  2**depth rows; leaves get weight -η·G/(H+λ).
 
-Missing-value directions are not modelled (the inputs have no nulls).  It
-is a second-order booster in the published sense, not a bit-for-bit
-replica of any particular library.
+Rows keep their margin as of the last ``refresh`` rounds; later trees are
+walked.  Missing-value directions are not modelled (the inputs have no
+nulls).  It is a second-order booster in the published sense, not a
+bit-for-bit replica of any particular library.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.literals import array_literal
-from ..session import checkpoint
-from .base import ColumnEstimator
-from .trees import LevelSplits, level_range
+from .base import ColumnEstimator, as_array
+from .trees import LevelSplits, level_range, node_of
+
+UNIT = float(1 << 32)
 
 
 def quantile_edges(df: DataFrame, cols: list[str], max_bins: int = 32,
-                   rel_error: float = 0.001) -> list[list[float]]:
-    """Interior bin edges per feature from ``approxQuantile`` (GK sketches
-    merged across partitions; only the edges reach the driver)."""
-    probs = [i / max_bins for i in range(1, max_bins)]
-    qs = df.approxQuantile(cols, probs, rel_error)
-    return [sorted(set(q)) for q in qs]
+                   accuracy: float = 0.0005) -> list[list[float]]:
+    """Interior bin edges per feature: values at the quantiles i / max_bins.
+
+    Values are counted in buckets of equal logarithmic width, so a quantile is
+    off by at most ``accuracy`` of its own value; the edge is the bucket's
+    largest value.  Counts do not depend on the order of rows, and a feature
+    has some ten thousand buckets at most over any usual range."""
+    width = math.log1p(accuracy)
+    v = F.col("v")
+    bucket = F.signum(v) * F.ceil(F.log(F.greatest(F.abs(v), F.lit(1e-300))) / width + 2e6)
+    counts = (df.select(F.posexplode(as_array(cols)).alias("feature", "v")).where(v.isNotNull())
+              .groupBy("feature", F.when(v == 0, 0.0).otherwise(bucket).alias("bucket"))
+              .agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")))
+    run = Window.partitionBy("feature").orderBy("bucket")
+    total = Window.partitionBy("feature")
+    ranked = counts.select(
+        "feature", "top", F.sum("n").over(run).alias("upto"), F.col("n"),
+        F.sum("n").over(total).alias("all"))
+    # a bucket that holds a quantile's row gives an edge
+    first = F.floor((F.col("upto") - F.col("n")) * max_bins / F.col("all"))
+    last = F.floor(F.col("upto") * max_bins / F.col("all"))
+    rows = ranked.where((last > first) & (F.col("upto") < F.col("all"))).collect()
+    edges: list[set] = [set() for _ in cols]
+    for r in rows:
+        edges[r["feature"]].add(r["top"])
+    return [sorted(e) for e in edges]
 
 
 def bin_columns(df: DataFrame, cols: list[str], edges: list[list[float]],
                 prefix: str = "__b") -> tuple[DataFrame, list[str]]:
-    """Bin index per feature: bin i holds edges[i-1] < x <= edges[i]... in
-    Bucketizer's convention [e_i, e_{i+1}); a threshold t_b splits
-    bin <= b from bin > b, i.e. x < edges[b] goes left."""
+    """Bin index per feature.  Bin i holds edges[i-1] <= x < edges[i]; a split
+    at bin b sends bins 0..b, that is x < edges[b], to the left."""
     outs = [f"{prefix}{i}" for i in range(len(cols))]
     splits = [[float("-inf")] + list(e) + [float("inf")] for e in edges]
-    b = Bucketizer(splitsArray=splits, inputCols=list(cols), outputCols=outs,
-                   handleInvalid="keep")
-    df = b.transform(df)
-    return df.select(*[c for c in df.columns if c not in outs],
-                     *[F.col(o).cast("int").alias(o) for o in outs]), outs
+    # Bucketizer wants an inner edge: a feature without any has one bin
+    some = [i for i, e in enumerate(edges) if e]
+    if some:
+        b = Bucketizer(splitsArray=[splits[i] for i in some], inputCols=[cols[i] for i in some],
+                       outputCols=[outs[i] for i in some], handleInvalid="keep")
+        df = b.transform(df)
+    bins: list[Column] = [F.col(o).cast("int").alias(o) if edges[i] else F.lit(0).alias(o)
+                          for i, o in enumerate(outs)]
+    return df.select(*[c for c in df.columns if c not in outs], *bins), outs
 
 
 def histogram_gains(hist: DataFrame, lam: float, gamma: float) -> DataFrame:
@@ -76,22 +103,29 @@ class BoostedTreesModel:
     trees: list           # per round: (list[LevelSplits], leaf weights dense)
     base_margin: float
 
-    def transform_columns(self, df, cols, prediction):
-        binned, bcols = bin_columns(df, cols, self.edges)
-        out = binned.withColumn("__bins", F.array(*[F.col(c) for c in bcols])) \
-                    .withColumn("__margin", F.lit(self.base_margin))
-        # one projection per tree level: the node column is materialised at
-        # each step, so expressions never nest (nesting grows exponentially)
+    def margins(self, bins: np.ndarray) -> np.ndarray:
+        out = np.full(len(bins), self.base_margin)
         for levels, leaf in self.trees:
-            out = out.withColumn("__node", F.lit(0))
-            for lv in levels:
-                out = out.withColumn("__node", lv.step(F.col("__node"), F.lit(0), F.col("__bins")))
-            out = out.withColumn("__margin", F.col("__margin") + F.coalesce(
-                F.try_element_at(array_literal(leaf, "double"), (F.col("__node") + 1).cast("int")),
-                F.lit(0.0)))
-        out = out.drop("__bins", "__node")
+            out += np.asarray(leaf)[node_of(levels, 0, bins)]
+        return out
+
+    def with_margin(self, df: DataFrame, cols: list[str], name: str) -> DataFrame:
+        """``df`` and its margin (log-odds); a vectorised function walks the
+        trees, so the plan does not grow with the rounds."""
+        shipped = df.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf("double")
+        def margin(bins: pd.Series) -> pd.Series:
+            rows = np.array(bins.tolist(), dtype=np.int64).reshape(len(bins), -1)
+            return pd.Series(shipped.value.margins(rows))
+
+        binned, bcols = bin_columns(df, cols, self.edges)
+        return binned.withColumn(name, margin(F.array(*bcols))).drop(*bcols)
+
+    def transform_columns(self, df, cols, prediction):
+        out = self.with_margin(df, cols, "__margin")
         return out.withColumn(prediction, F.when(F.col("__margin") > 0, 1.0).otherwise(0.0)) \
-                  .drop("__margin", *bcols)
+                  .drop("__margin")
 
 
 def _best_per_node_feature(hist: DataFrame, lam: float, gamma: float,
@@ -110,34 +144,68 @@ def _best_per_node_feature(hist: DataFrame, lam: float, gamma: float,
             .select("node", "feature", "bin", "gain", "GL", "HL", "G", "H"))
 
 
+def _histogram(data: DataFrame, levels: list, depth: int, trees: list) -> DataFrame:
+    """Sums of g and h by (node, feature, bin) over the nodes at ``depth``;
+    ``data`` has bins b, label y and margin, ``trees`` are those since."""
+    lo, hi = level_range(depth)
+    shipped = data.sparkSession.sparkContext.broadcast((levels, BoostedTreesModel([], trees, 0.0)))
+
+    def reduce(batches):
+        grown, model = shipped.value
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            margin = batch.column(2).to_numpy() + model.margins(b)
+            p = 1 / (1 + np.exp(-margin))
+            g = np.rint((p - batch.column(1).to_numpy()) * UNIT)
+            h = np.rint(p * (1 - p) * UNIT)
+            node = node_of(grown, 0, b)
+            here = (node >= lo) & (node <= hi)
+            for f in range(b.shape[1]):
+                size = int(b[:, f].max()) + 1
+                at = (node[here] - lo) * size + b[here, f]
+                n = (hi - lo + 1) * size
+                # a batch's sums stay below 2**53, so the doubles are exact
+                new = np.stack([np.bincount(at, v[here], n).astype(np.int64).reshape(-1, size)
+                                for v in (g, h)] + [np.bincount(at, minlength=n).reshape(-1, size)])
+                old = total.get(f)
+                if old is not None:
+                    size = max(size, old.shape[2])
+                    grow = lambda v: np.pad(v, ((0, 0), (0, 0), (0, size - v.shape[2])))  # noqa: E731,B023
+                    new = grow(old) + grow(new)
+                total[f] = new
+        out = [(int(nd) + lo, f, int(bn), int(v[0, nd, bn]), int(v[1, nd, bn]))
+               for f, v in total.items() for nd, bn in zip(*np.nonzero(v[2]))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)],
+            names=["node", "feature", "bin", "g", "h"])
+
+    return (data.select("b", "y", "margin")
+            .mapInArrow(reduce, "node long, feature long, bin long, g long, h long")
+            .groupBy("node", "feature", "bin")
+            .agg((F.sum("g") / UNIT).alias("g"), (F.sum("h") / UNIT).alias("h")))
+
+
 def boosted_trees_fit(df: DataFrame, cols: list[str], label: str = "label",
                       rounds: int = 20, max_depth: int = 3, eta: float = 0.3,
                       lam: float = 1.0, gamma: float = 0.0, min_child_weight: float = 1.0,
                       max_bins: int = 32, edges: list | None = None,
-                      checkpoint_every: int = 5) -> BoostedTreesModel:
+                      refresh: int = 10) -> BoostedTreesModel:
     edges = edges if edges is not None else quantile_edges(df, cols, max_bins)
     binned, bcols = bin_columns(df.select(*cols, F.col(label).cast("double").alias("y")),
                                 cols, edges)
-    data = checkpoint(binned.select(F.array(*[F.col(c) for c in bcols]).alias("b"), "y",
-                                    F.lit(0.0).alias("margin")))
-    trees, release = [], None
+    first = binned.select(F.array(*[F.col(c).cast("bigint") for c in bcols]).alias("b"),
+                          "y").persist()
+    data, held = first.withColumn("margin", F.lit(0.0)), None
+    trees, since = [], []
     for rnd in range(rounds):
-        p = 1 / (1 + F.exp(-F.col("margin")))
-        cur = data.select("b", "y", "margin", (p - F.col("y")).alias("g"),
-                          (p * (1 - p)).alias("h"), F.lit(0).alias("node"))
         levels, leaf_gh = [], {}
         for depth in range(max_depth):
-            lo, hi = level_range(depth)
-            hist = (cur.where((F.col("node") >= lo) & (F.col("node") <= hi))
-                    .select("node", "g", "h", F.posexplode("b").alias("feature", "bin"))
-                    .groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
+            hist = _histogram(data, levels, depth, since)
             best = {}
-            stats = _best_per_node_feature(hist, lam, gamma, min_child_weight).collect()
-            if release is not None:
-                # this round's rows are cached now; drop the previous round's
-                release.unpersist()
-                release = None
-            for r in stats:
+            for r in _best_per_node_feature(hist, lam, gamma, min_child_weight).collect():
                 node = r["node"]
                 leaf_gh[node] = (r["G"], r["H"])
                 if r["gain"] is not None and r["gain"] > 0:
@@ -154,30 +222,38 @@ def boosted_trees_fit(df: DataFrame, cols: list[str], label: str = "label",
                 leaf_gh[2 * node + 2] = (r["G"] - r["GL"], r["H"] - r["HL"])
                 leaf_gh.pop(node, None)
             levels.append(lv)
-            cur = cur.withColumn("node", lv.step(F.col("node"), F.lit(0), F.col("b")))
-        span = 2 ** (len(levels) + 1) - 1
-        leaf = [0.0] * span
+        leaf = [0.0] * (2 ** (len(levels) + 1) - 1)
         for node, (G, H) in leaf_gh.items():
-            if node < span:
+            if node < len(leaf):
                 leaf[node] = -eta * G / (H + lam)
         trees.append((levels, leaf))
-        wl = array_literal(leaf, "double")
-        nxt = cur.select("b", "y", (F.col("margin") + F.coalesce(
-            F.try_element_at(wl, (F.col("node") + 1).cast("int")), F.lit(0.0))).alias("margin"))
-        # persist each round; cut lineage with a reliable checkpoint every few
-        if (rnd + 1) % checkpoint_every == 0:
-            nxt = checkpoint(nxt)
-        else:
-            nxt = nxt.persist()
-        release = data if data.is_cached else None
-        data = nxt
-    if release is not None:
-        release.unpersist()
-    if data.is_cached:
-        data.unpersist()
+        since.append((levels, leaf))
+        if len(since) == refresh and rnd + 1 < rounds:
+            nxt = _with_margin(data, since).persist()
+            nxt.count()
+            if held is not None:
+                held.unpersist()
+            data, held, since = nxt, nxt, []
+    if held is not None:
+        held.unpersist()
+    first.unpersist()
     return BoostedTreesModel(edges, trees, 0.0)
 
 
+def _with_margin(data: DataFrame, trees: list) -> DataFrame:
+    """``data`` with the trees' leaves added to its margins."""
+    shipped = data.sparkSession.sparkContext.broadcast(BoostedTreesModel([], trees, 0.0))
+
+    def add(batches):
+        for batch in batches:
+            b = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            margin = batch.column(2).to_numpy() + shipped.value.margins(b)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(margin)],
+                                             names=["b", "y", "margin"])
+
+    return data.select("b", "y", "margin").mapInArrow(add, data.schema)
+
+
 class BoostedTrees(ColumnEstimator):
     """C8 as a Pipeline stage."""
 

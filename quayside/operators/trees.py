@@ -3,14 +3,16 @@
 Nodes are numbered heap-style: the root is 0 and node n has children 2n+1
 (x <= threshold) and 2n+2.  Nodes of depth L are 2**L - 1 .. 2**(L+1) - 2.
 A level's splits are two dense arrays over those nodes (feature index, or
--1 for a node that does not split, and threshold), shipped as folded
-literals; the row update is then a pure column expression.
+-1 for a node that does not split, and threshold): model-sized.  In a fit,
+tasks walk their rows down the levels grown so far with numpy; in scoring,
+the arrays are folded literals and the walk is a column expression.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,9 +41,6 @@ class LevelSplits:
         self.feature[i] = int(feature)
         self.threshold[i] = float(threshold)
 
-    def any(self) -> bool:
-        return any(f >= 0 for f in self.feature)
-
     def step(self, node: Column, tree: Column, values: Column) -> Column:
         """Next node id for a row currently at ``node`` of ``tree``.
 
@@ -59,3 +58,25 @@ class LevelSplits:
         at_level = (node >= F.lit(lo)) & (node <= F.lit(hi))
         return F.when(at_level & f.isNotNull() & (f >= 0),
                       F.when(go_left, node * 2 + 1).otherwise(node * 2 + 2)).otherwise(node)
+
+    def walk(self, node: np.ndarray, tree: int, x: np.ndarray) -> np.ndarray:
+        """The same step for arrays: nodes of the rows of ``x`` in one tree."""
+        lo, hi = level_range(self.depth)
+        width = 2 ** self.depth
+        feature = np.asarray(self.feature[tree * width:(tree + 1) * width], dtype=np.int64)
+        cut = np.asarray(self.threshold[tree * width:(tree + 1) * width], dtype=float)
+        out = node.copy()
+        here = np.flatnonzero((node >= lo) & (node <= hi))
+        here = here[feature[node[here] - lo] >= 0]
+        at = node[here] - lo
+        left = x[here, feature[at]] <= cut[at]
+        out[here] = 2 * node[here] + np.where(left, 1, 2)
+        return out
+
+
+def node_of(levels: list[LevelSplits], tree: int, x: np.ndarray) -> np.ndarray:
+    """Where the levels grown so far put each row of ``x``."""
+    node = np.zeros(len(x), dtype=np.int64)
+    for level in levels:
+        node = level.walk(node, tree, x)
+    return node
