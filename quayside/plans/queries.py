@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.base import as_array
 from ..operators.metrics import confusion
 from ..operators.naive_bayes import gaussian_nb
 from ..operators.profile import profile
@@ -243,14 +244,6 @@ register("quantity_linear", _s)(_q)
 
 # ------------------------------------------------------------------ C5
 KNN_K = 5
-EMB_DIM = 64
-
-
-def embedding_columns(spark, sf_dir):
-    from ..sources.tables import read_table
-    e = read_table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label",
-                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIM)])
 
 
 @register("knn_exact", f"""
@@ -267,9 +260,9 @@ FROM e JOIN best ON e.vec_id = best.q AND best.b = 1 JOIN nb ON nb.q = e.vec_id"
 def q_knn_exact(spark, sf_dir):
     """Leave-one-out 5-NN vote over every embedding (neighbours listed)."""
     from ..operators.knn import knn_neighbors, knn_vote
-    e = embedding_columns(spark, sf_dir)
-    cols = [f"e{i}" for i in range(EMB_DIM)]
-    nb = knn_neighbors(e, e, cols, KNN_K, label="label", train_id="vec_id",
+    from ..sources.tables import read_table
+    e = read_table(spark, sf_dir, "embeddings")
+    nb = knn_neighbors(e, e, "embedding", KNN_K, label="label", train_id="vec_id",
                        query_id="vec_id", exclude_self=True)
     pred = knn_vote(nb, ["vec_id"])
     lists = nb.groupBy("vec_id").agg(
@@ -321,10 +314,8 @@ def q_extra_trees_level1(spark, sf_dir):
     chosen split per tree."""
     from ..operators.extra_trees import level_candidates
     train, _ = split(order_lines(spark, sf_dir))
-    data = train.select(F.array(*[F.col(c).cast("double") for c in ET_FEATURES]).alias("x"),
-                        F.col("late").cast("double").alias("y"),
-                        F.array_repeat(F.lit(0), ET_TREES).alias("nodes"))
-    c = level_candidates(data, 0, [0.0, 1.0], ET_TREES, ET_K, ET_SEED)
+    data = train.select(as_array(ET_FEATURES).alias("x"), F.col("late").cast("double").alias("y"))
+    c = level_candidates(data, [], 0, [0.0, 1.0], ET_TREES, ET_K, ET_SEED)
     w = Window.partitionBy("tree").orderBy(
         F.desc("gain"), "feature")
     return c.select(F.col("tree").cast("int").alias("tree"), F.col("feature").cast("int").alias("feature"),
@@ -390,8 +381,10 @@ s AS (SELECT cut, sum(CASE WHEN order_day < cut THEN n ELSE 0 END) AS nl,
              sum(CASE WHEN order_day < cut THEN p ELSE 0 END) AS pl, sum(n) AS nt, sum(p) AS pt
       FROM cuts, hg GROUP BY cut)
 SELECT cut, CAST(nl AS BIGINT) AS n_left, CAST(pl AS BIGINT) AS late_left,
-       round((nl * (1 - (pl / nl) ^ 2 - (1 - pl / nl) ^ 2)
-            + (nt - nl) * (1 - ((pt - pl) / (nt - nl)) ^ 2 - (1 - (pt - pl) / (nt - nl)) ^ 2)) / nt, 8) AS impurity
+       round(CASE WHEN nt > 0 THEN
+            (CASE WHEN nl > 0 THEN nl * (1 - (pl / nl) ^ 2 - (1 - pl / nl) ^ 2) ELSE 0 END
+            + CASE WHEN nt > nl THEN (nt - nl) * (1 - ((pt - pl) / (nt - nl)) ^ 2
+                - (1 - (pt - pl) / (nt - nl)) ^ 2) ELSE 0 END) / nt END, 8) AS impurity
 FROM s"""))
 def q_tree_split_gain(spark, sf_dir):
     """Decision-tree split criterion: weighted Gini impurity of the cuts
@@ -400,15 +393,17 @@ def q_tree_split_gain(spark, sf_dir):
     train, _ = split(order_lines(spark, sf_dir))
     b, (bc,) = bin_columns(train.select("order_day", "late"), ["order_day"], [TREE_EDGES])
     hist = b.groupBy(F.col(bc).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("late").alias("p"))
-    run = Window.orderBy("bin").rowsBetween(
-        -(10 ** 9), 0)
+    # every cut has its row, whether or not a line lies in the bin below it
+    cuts = spark.range(len(TREE_EDGES) + 1).select(F.col("id").cast("int").alias("bin"))
+    hist = cuts.join(hist, "bin", "left").na.fill(0, ["n", "p"])
+    run = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy()
     s = (hist.withColumn("nl", F.sum("n").over(run)).withColumn("pl", F.sum("p").over(run))
          .withColumn("nt", F.sum("n").over(tot)).withColumn("pt", F.sum("p").over(tot))
          .where(F.col("bin") < len(TREE_EDGES)))
     nl, pl, nt, pt = (F.col(c).cast("double") for c in ("nl", "pl", "nt", "pt"))
-    gini = lambda n, p: 1 - (p / n) * (p / n) - (1 - p / n) * (1 - p / n)
+    part = lambda n, p: F.when(n > 0, n * (1 - (p / n) * (p / n) - (1 - p / n) * (1 - p / n))).otherwise(0.0)
     edges = F.element_at(F.array(*[F.lit(e) for e in TREE_EDGES]), (F.col("bin") + 1).cast("int"))
     return s.select(edges.alias("cut"), F.col("nl").cast("bigint").alias("n_left"),
                     F.col("pl").cast("bigint").alias("late_left"),
-                    F.round((nl * gini(nl, pl) + (nt - nl) * gini(nt - nl, pt - pl)) / nt, 8).alias("impurity"))
+                    F.round(F.when(nt > 0, (part(nl, pl) + part(nt - nl, pt - pl)) / nt), 8).alias("impurity"))
