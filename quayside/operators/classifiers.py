@@ -1,4 +1,4 @@
-"""Classifier factories (C1, C3, C4, C6, C9, and GBT as a cross-check).
+"""Classifier factories.
 
 These five are Spark ML estimators: each iteration or tree level is one
 distributed aggregate (``treeAggregate`` of gradients or split histograms)
@@ -10,15 +10,15 @@ aggregates, and plug into the same ``Pipeline``.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
-                                       LinearSVC, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
+                                       LogisticRegression,
                                        NaiveBayes, RandomForestClassifier)
 
 
-def logistic(maxIter: int = 100, regParam: float = 0.0, features="features",
+def logistic(maxIter: int = 100, regParam: float = 0.0, tol: float = 1e-6, features="features",
              label="label") -> LogisticRegression:
     """Logistic regression (L-BFGS on distributed gradients)."""
-    return LogisticRegression(maxIter=maxIter, regParam=regParam,
+    return LogisticRegression(maxIter=maxIter, regParam=regParam, tol=tol,
                               featuresCol=features, labelCol=label)
 
 
@@ -39,22 +39,19 @@ def linear_svm(maxIter: int = 100, regParam: float = 0.01, features="features",
                      labelCol=label)
 
 
-def random_forest(numTrees: int = 20, maxDepth: int = 5, seed: int = 7,
+def random_forest(numTrees: int = 20, maxDepth: int = 5, seed: int = 7, maxBins: int = 32,
+                  bootstrap: bool = True, featureSubsetStrategy: str = "auto",
                   features="features", label="label") -> RandomForestClassifier:
     """Random forest (bootstrap rows, feature subsets, best splits)."""
     return RandomForestClassifier(numTrees=numTrees, maxDepth=maxDepth, seed=seed,
+                                  maxBins=maxBins, bootstrap=bootstrap,
+                                  featureSubsetStrategy=featureSubsetStrategy,
                                   featuresCol=features, labelCol=label)
 
 
-def decision_tree(maxDepth: int = 5, seed: int = 7, features="features",
+def decision_tree(maxDepth: int = 5, seed: int = 7, maxBins: int = 32, features="features",
                   label="label") -> DecisionTreeClassifier:
-    """CART decision tree with Gini impurity."""
-    return DecisionTreeClassifier(maxDepth=maxDepth, seed=seed, impurity="gini",
+    """CART decision tree with Gini impurity.  With more ``maxBins`` than
+    a feature has values, every midpoint between two values is a candidate."""
+    return DecisionTreeClassifier(maxDepth=maxDepth, seed=seed, impurity="gini", maxBins=maxBins,
                                   featuresCol=features, labelCol=label)
-
-
-def gbt(maxIter: int = 20, maxDepth: int = 3, seed: int = 7, features="features",
-        label="label") -> GBTClassifier:
-    """First-order gradient-boosted trees: the cross-check for C8."""
-    return GBTClassifier(maxIter=maxIter, maxDepth=maxDepth, seed=seed,
-                         featuresCol=features, labelCol=label)

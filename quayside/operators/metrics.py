@@ -26,8 +26,11 @@ def confusion(pred: DataFrame, label: str = "label",
     f1_weighted (the support-weighted mean of both classes' F1, which is
     what Spark's ``MulticlassClassificationEvaluator`` calls ``f1``).
     """
-    y = F.col(label).cast("double") == positive
-    p = F.col(prediction).cast("double") == positive
+    # a null label or prediction would belong to no cell: fail on it
+    known = lambda c: F.coalesce(F.col(c).cast("double"), F.raise_error(
+        F.lit(f"null in {c}")).cast("double"))
+    y = known(label) == positive
+    p = known(prediction) == positive
     cnt = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
     g = pred.groupBy(*by).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),

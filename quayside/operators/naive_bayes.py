@@ -3,20 +3,20 @@
 Two forms.  ``gaussian_nb`` fits from one ``groupBy(label)`` of counts,
 means and population variances (each task sends K x d partial moments), and
 scores with plain column expressions, so prediction is a narrow, codegen'd
-projection with no join.  ``spark_gaussian_nb`` is Spark ML's
-``NaiveBayes(modelType='gaussian')`` for use inside a Pipeline.
+projection with no join; ``SqlNaiveBayes`` wraps it as a Pipeline stage.
+``classifiers.gaussian_nb`` is Spark ML's ``NaiveBayes(modelType='gaussian')``.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax_label
+from .base import ColumnEstimator
 
 
 @dataclass
@@ -45,6 +45,9 @@ class GaussianNBModel:
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
         return df.withColumn(prediction, self.predict_column())
 
+    def transform_columns(self, df, cols, prediction):
+        return replace(self, features=list(cols)).transform(df, prediction)
+
 
 def gaussian_nb(train: DataFrame, features: list[str], label: str = "label",
                 var_smoothing: float = 1e-9) -> GaussianNBModel:
@@ -74,5 +77,8 @@ def gaussian_nb(train: DataFrame, features: list[str], label: str = "label",
         variances={r["y"]: [r[f"v_{c}"] + eps for c in features] for r in rows})
 
 
-def spark_gaussian_nb(features: str = "features", label: str = "label") -> NaiveBayes:
-    return NaiveBayes(modelType="gaussian", featuresCol=features, labelCol=label)
+class SqlNaiveBayes(ColumnEstimator):
+    """The SQL form as a Pipeline stage."""
+
+    def fit_columns(self, df, cols, label):
+        return gaussian_nb(df, cols, label)

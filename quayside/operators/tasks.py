@@ -34,28 +34,49 @@ def labelled(lines: DataFrame, task: str) -> DataFrame:
     return lines.withColumn("label", F.col(TASK_LABEL[task]).cast("double"))
 
 
+def balanced(train: DataFrame, name: str = "weight") -> DataFrame:
+    """``train`` with a weight that gives both classes the same total: a rare
+    class is then not drowned by the other."""
+    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    total, weight = sum(sizes.values()), F.lit(1.0)
+    for y, n in sizes.items():
+        weight = F.when(F.col("label") == y, F.lit(total / (len(sizes) * n))).otherwise(weight)
+    return train.withColumn(name, weight)
+
+
+def weighted(estimator, name: str = "weight"):
+    """The estimator reading row weights, if it can."""
+    return estimator.setWeightCol(name) if estimator.hasParam("weightCol") else estimator
+
+
 def fit_predict(X: DataFrame, estimator, numeric=None, categorical=None,
-                key: str = "order_key", scale: bool = True, task: str = "late"):
+                key: str = "order_key", scale: bool = True, task: str = "late",
+                balance: bool = False):
     """Split ``X`` by ``key``, fit front end + estimator on train, predict test.
 
-    Returns (test predictions, fitted PipelineModel).  The training side is
-    persisted (memory, spilling to disk) because the front end and iterative
-    learners read it several times; it is unpersisted by the caller's GC.
+    Returns (test predictions, fitted PipelineModel).  The training columns
+    are persisted (memory, spilling to disk) while fitting, because the front
+    end and iterative learners read them several times.  With ``balance`` the
+    training rows carry class weights for estimators that take them.
     """
     numeric = list(numeric if numeric is not None else TASK_NUMERIC[task])
     categorical = list(categorical if categorical is not None else ORDER_LINE_CATEGORICAL)
     cols = [key, "label"] + numeric + categorical
     train, test = split(X.select(*cols), key)
     train = train.persist()
-    model = Pipeline(stages=feature_stages(numeric, categorical, scale) + [estimator]).fit(train)
+    if balance:
+        estimator = weighted(estimator)
+    model = Pipeline(stages=feature_stages(numeric, categorical, scale) + [estimator]).fit(
+        balanced(train) if balance else train)
     pred = model.transform(test)
     train.unpersist()
     return pred, model
 
 
 def detect_fraud(X: DataFrame, classifier, **kw) -> DataFrame:
-    """Predict the fraud proxy on held-out lines."""
-    return fit_predict(labelled(X, "fraud"), classifier, task="fraud", **kw)[0]
+    """Predict the fraud label on held-out lines, classes weighted."""
+    return fit_predict(labelled(X, "fraud"), classifier, task="fraud",
+                       **{"balance": True, **kw})[0]
 
 
 def predict_late(X: DataFrame, classifier, **kw) -> DataFrame:
@@ -74,25 +95,30 @@ def predict_quantity(X: DataFrame, regressor, **kw) -> DataFrame:
 
 
 def compare_classifiers(X: DataFrame, classifiers: dict, task: str, numeric=None,
-                        categorical=None, key: str = "order_key") -> DataFrame:
+                        categorical=None, key: str = "order_key",
+                        balance: bool = False) -> DataFrame:
     """Train every classifier on one shared front end, judge on held-out rows.
 
-    The source, the split and the feature front end are computed once; the
-    assembled train and test features are persisted and every classifier
-    reads them.  The metrics table (one row per model) is checkpointed before
-    the persisted features are released, so the result survives on its own.
+    The source is read and joined once: the columns that the models use are
+    persisted before the front end is fitted, then the assembled features
+    are, and every classifier reads those.  The metrics table (one row per
+    model) is checkpointed before all that is released.
     """
     from ..session import checkpoint
     from .metrics import compare
     numeric = list(numeric if numeric is not None else TASK_NUMERIC[task])
     categorical = list(categorical if categorical is not None else ORDER_LINE_CATEGORICAL)
-    cols = [key, "label"] + numeric + categorical
-    train, test = split(labelled(X, task).select(*cols), key)
+    rows = labelled(X, task).select(key, "label", *numeric, *categorical).persist()
+    train, test = split(rows, key)
     front = Pipeline(stages=feature_stages(numeric, categorical)).fit(train)
-    tr = front.transform(train).select(key, "label", "features").persist()
+    tr = front.transform(train).select(key, "label", "features")
+    tr = (balanced(tr) if balance else tr).persist()
     te = front.transform(test).select(key, "label", "features").persist()
-    preds = {(task, name): make().fit(tr).transform(te) for name, make in classifiers.items()}
+    preds = {}
+    for name, make in classifiers.items():
+        est = weighted(make()) if balance else make()
+        preds[task, name] = est.fit(tr).transform(te)
     out = checkpoint(compare(preds))
-    tr.unpersist()
-    te.unpersist()
+    for held in (rows, tr, te):
+        held.unpersist()
     return out

@@ -42,17 +42,21 @@ EPOCH = "1995-01-01"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read ``<sf_dir>/<name>.parquet`` and fail fast on a missing column."""
+    """Read ``<sf_dir>/<name>.parquet`` and fail fast on a missing column or
+    one of another type."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     want = TABLE_COLUMNS.get(name, {})
     have = dict(df.dtypes)
     missing = [c for c in want if c not in have]
     if missing:
         raise ValueError(f"table {name} lacks columns {missing}")
+    other = {c: have[c] for c, t in want.items() if have[c] != t}
+    if other:
+        raise ValueError(f"table {name} has columns of other types: {other}")
     return df
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_lines(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """lineitem ⋈ orders ⋈ customer ⋈ part, one row per line.
 
     Derived columns: ``order_key`` (the split key), ``order_day`` (days since
@@ -65,8 +69,9 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     The orders side is joined to customer first: it is a quarter of the
     line count, so the customer-key shuffle (if one is needed) moves the
     smaller table, and lines then meet orders on the order key.
+    ``lineitem`` replaces the stored lines, for example by a stream of them.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = (read_table(spark, sf_dir, "lineitem") if lineitem is None else lineitem).select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
         "l_shipdate")

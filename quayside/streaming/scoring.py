@@ -20,7 +20,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import EPOCH, read_table
+from ..operators.metrics import confusion
+from ..sources.tables import order_lines, read_table
 
 
 def order_line_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
@@ -35,21 +36,7 @@ def order_line_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> D
         reader = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
         path = sf_dir
     li = reader.option("maxFilesPerTrigger", max_files).parquet(path)
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
-                                                   "o_orderpriority")
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
-    oc = o.join(c, o.o_custkey == c.c_custkey)
-    lines = li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    odate, sdate = F.col("o_orderdate").cast("date"), F.col("l_shipdate").cast("date")
-    return lines.select(
-        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_number"),
-        F.datediff(odate, F.lit(EPOCH).cast("date")).alias("order_day"),
-        F.when(F.datediff(sdate, odate) > 30, 1).otherwise(0).alias("late"),
-        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("fraud"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
-        F.col("l_quantity").alias("quantity"), "l_quantity", "l_discount", "l_tax", "p_size",
-        "p_retailprice", "c_acctbal", "o_orderpriority", "c_mktsegment", "p_type")
+    return order_lines(spark, sf_dir, lineitem=li)
 
 
 def score_stream(model, stream: DataFrame, label: str | None = None) -> DataFrame:
@@ -61,9 +48,7 @@ def score_stream(model, stream: DataFrame, label: str | None = None) -> DataFram
 
 def running_confusion(scored: DataFrame, task: str, model: str) -> DataFrame:
     """Streaming confusion counts (complete mode) for one model."""
-    y = F.col("label") == 1.0
-    p = F.col("prediction") == 1.0
-    cnt = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
-    return (scored.groupBy(F.lit(task).alias("task"), F.lit(model).alias("model"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("n"), cnt(y & p).alias("tp"),
-                 cnt(~y & p).alias("fp"), cnt(y & ~p).alias("fn"), cnt(~y & ~p).alias("tn")))
+    named = scored.select(F.lit(task).alias("task"), F.lit(model).alias("model"), "label",
+                          "prediction")
+    return confusion(named, by=["task", "model"]).select("task", "model", "n", "tp", "fp", "fn",
+                                                         "tn")

@@ -51,3 +51,25 @@ def test_profile_shares_sum_to_one(spark):
     p = profile(order_lines(spark, SF_SMALL), "late", ["order_day"]).collect()
     assert abs(sum(r.share for r in p) - 1.0) < 1e-9
     assert sum(r.n for r in p) == 6000
+
+
+def test_null_predictions_fail(spark):
+    import pytest
+    df = spark.createDataFrame([(1.0, None), (0.0, 1.0)], "label double, prediction double")
+    with pytest.raises(Exception, match="null in prediction"):
+        confusion(df).collect()
+
+
+def _lines(spark, days):
+    return spark.createDataFrame([(i, 1, d, i % 2) for i, d in enumerate(days)],
+                                 "order_key long, line_number int, order_day int, late int")
+
+
+def test_split_gain_has_every_cut(spark, monkeypatch):
+    from quayside.plans import queries as Q
+    for days in ([10 + i % 400 for i in range(300)],              # early orders only
+                 [i % 400 for i in range(200)] + [1000 + i for i in range(200)]):   # a gap
+        monkeypatch.setattr(Q, "order_lines", lambda s, d, days=days: _lines(s, days))
+        rows = Q.q_tree_split_gain(spark, "").collect()
+        assert sorted(r.cut for r in rows) == Q.TREE_EDGES
+        assert all(0 <= r.impurity <= 0.5 for r in rows)

@@ -58,19 +58,6 @@ def test_sql_naive_bayes_matches_spark_ml(spark, planted):
     assert j.where("p1 != p2").count() <= 2   # Spark adds a tiny variance term
 
 
-def test_discriminant_aggregate_and_pandas_paths_agree(spark, planted):
-    import quayside.operators.discriminant as D
-    m1 = discriminant_fit(planted, FEATS, "label")
-    old = D.AGG_LIMIT
-    D.AGG_LIMIT = 0
-    try:
-        m2 = discriminant_fit(planted, FEATS, "label")
-    finally:
-        D.AGG_LIMIT = old
-    assert np.allclose(m1.coef, m2.coef, rtol=1e-7, atol=1e-9)
-    assert np.allclose(m1.intercept, m2.intercept, rtol=1e-7, atol=1e-9)
-
-
 def test_discriminant_matches_numpy(spark, planted):
     pdf = planted.select(*FEATS, "label").toPandas()
     X, y = pdf[FEATS].to_numpy(), pdf["label"].to_numpy()
@@ -104,7 +91,8 @@ def test_knn_exact_against_brute_force(spark):
                               "qid long, a double, b double, c double")
     k = 5
     got = {r.qid: r.prediction for r in
-           knn_predict(train, q, ["a", "b", "c"], k, "label", train_id="tid", query_id="qid").collect()}
+           knn_predict(train, q, ["a", "b", "c"], k, "label", train_id="tid", query_id="qid",
+                       pivots=12, block_rows=20).collect()}
     for r in q.collect():
         x = np.array([r.a, r.b, r.c])
         d = np.sqrt(((pts - x) ** 2).sum(1))
@@ -127,38 +115,98 @@ def test_extra_trees_independent_of_partitioning(spark, planted):
     assert _forest_signature(a) == _forest_signature(b)
 
 
-def test_extra_trees_small_and_large_level_paths_agree(spark, planted):
-    import quayside.operators.extra_trees as ET
-    a = extra_trees_fit(planted, FEATS, "label", num_trees=3, max_depth=3, seed=5)
-    old = ET.SMALL_LEVEL
-    ET.SMALL_LEVEL = 0
-    try:
-        b = extra_trees_fit(planted, FEATS, "label", num_trees=3, max_depth=3, seed=5)
-    finally:
-        ET.SMALL_LEVEL = old
-    assert _forest_signature(a) == _forest_signature(b)
+def _brute_extra_trees(X, y, seed, trees, depth, k):
+    """The forest grown row by row: {(tree, node): (feature, cut)}."""
+    import hashlib
+    u = lambda *p: int(hashlib.md5("|".join(map(str, p)).encode()).hexdigest()[:8], 16)
+    gini = lambda v: 1 - ((v == 0).mean() ** 2 + (v == 1).mean() ** 2) if len(v) else 0.0
+    out = {}
+    for t in range(trees):
+        nodes = {0: np.arange(len(y))}
+        for _ in range(depth):
+            nxt = {}
+            for node, rows in nodes.items():
+                x, v = X[rows], y[rows]
+                if len(v) < 2 or len(set(v)) < 2:
+                    continue
+                free = [f for f in range(X.shape[1]) if x[:, f].max() > x[:, f].min()]
+                drawn = sorted(free, key=lambda f: (u(seed, t, node, f, "pick"), f))[:k]
+                best = None
+                for f in drawn:
+                    lo, hi = x[:, f].min(), x[:, f].max()
+                    cut = lo + u(seed, t, node, f) / 2 ** 32 * (hi - lo)
+                    left = x[:, f] <= cut
+                    gain = gini(v) - left.mean() * gini(v[left]) - (~left).mean() * gini(v[~left])
+                    if best is None or (-round(gain, 12), f) < best[0]:
+                        best = ((-round(gain, 12), f), f, cut, left)
+                if best:
+                    out[t, node] = best[1], round(best[2], 9)
+                    nxt[2 * node + 1], nxt[2 * node + 2] = rows[best[3]], rows[~best[3]]
+            nodes = nxt
+    return out
+
+
+def test_extra_trees_equal_brute_force(spark, planted):
+    pdf = planted.select(*FEATS, "label").toPandas()
+    m = extra_trees_fit(planted, FEATS, "label", num_trees=3, max_depth=3, seed=5, k_features=2)
+    got = {}
+    for lv in m.levels:
+        width = 2 ** lv.depth
+        for i, f in enumerate(lv.feature):
+            if f >= 0:
+                got[i // width, i % width + width - 1] = f, round(lv.threshold[i], 9)
+    assert got == _brute_extra_trees(pdf[FEATS].to_numpy(), pdf["label"].to_numpy(), 5, 3, 3, 2)
+
+
+def test_tree_walk_equals_the_column_form(spark, planted):
+    m = extra_trees_fit(planted, FEATS, "label", num_trees=3, max_depth=3, seed=5)
+    from quayside.operators.trees import node_of
+    X = planted.select(*FEATS).toPandas().to_numpy()
+    x = F.array(*FEATS)
+    node = F.lit(0)
+    for lv in m.levels:
+        node = lv.step(node, F.lit(1), x)
+    got = [r[0] for r in planted.select(node).collect()]
+    assert got == node_of(m.levels, 1, X).tolist()
+
+
+def _log_loss(model, df):
+    p = 1 / (1 + F.exp(-F.col("m")))
+    loss = F.when(F.col("label") == 1, -F.log(p)).otherwise(-F.log(1 - p))
+    return model.with_margin(df, FEATS, "m").agg(F.avg(loss)).first()[0]
 
 
-def test_boosting_loss_falls_and_is_partition_independent(spark, planted):
-    from quayside.operators.boosting import bin_columns
-    losses = []
-    for rounds in (1, 2, 4):
-        m = boosted_trees_fit(planted, FEATS, "label", rounds=rounds, max_depth=2, eta=0.3)
-        b, bcols = bin_columns(planted, FEATS, m.edges)
-        out = m.transform_columns(planted, FEATS, "p")
-        # recompute the margin through the model to get the log-loss
-        marg = out.select("label", "p")
-        losses.append(marg.where("label != p").count())
-    assert losses[-1] <= losses[0]
-    m1 = boosted_trees_fit(planted.repartition(2), FEATS, "label", rounds=2, max_depth=2)
-    m2 = boosted_trees_fit(planted.repartition(5), FEATS, "label", rounds=2, max_depth=2,
-                           edges=m1.edges)
-    m1b = boosted_trees_fit(planted.repartition(5), FEATS, "label", rounds=2, max_depth=2,
-                            edges=m1.edges)
-    sig = lambda m: [[(lv.feature, lv.threshold) for lv in levels] for levels, _ in m.trees]
-    assert sig(m1) == sig(m2) == sig(m1b)
-    for (_, l1), (_, l2) in zip(m1.trees, m2.trees):
-        assert np.allclose(l1, l2, rtol=1e-9)
+def test_boosting_loss_falls_every_round(spark, planted):
+    m = boosted_trees_fit(planted, FEATS, "label", rounds=5, max_depth=2, eta=0.3, refresh=2)
+    from quayside.operators.boosting import BoostedTreesModel
+    losses = [_log_loss(BoostedTreesModel(m.edges, m.trees[:n], 0.0), planted) for n in range(6)]
+    assert all(b < a for a, b in zip(losses, losses[1:])), losses
+
+
+def test_boosting_does_not_depend_on_partitions_or_refresh(spark, planted):
+    models = [boosted_trees_fit(planted.repartition(n), FEATS, "label", rounds=3, max_depth=2,
+                                refresh=r) for n, r in ((2, 10), (5, 1), (9, 2))]
+    sig = lambda m: (m.edges, [[(lv.feature, lv.threshold) for lv in levels]
+                               for levels, _ in m.trees])
+    assert sig(models[0]) == sig(models[1]) == sig(models[2])
+    for other in models[1:]:
+        for (_, l1), (_, l2) in zip(models[0].trees, other.trees):
+            assert np.allclose(l1, l2, rtol=1e-8)
+
+
+def test_quantile_edges_are_near_the_quantiles(spark, planted):
+    from quayside.operators.boosting import quantile_edges
+    v = planted.select("x1").toPandas()["x1"].to_numpy()
+    (edges,) = quantile_edges(planted.select("x1"), ["x1"], 8)
+    assert np.allclose(edges, np.quantile(v, np.arange(1, 8) / 8), atol=0.01)
+    same = planted.select(F.lit(3.0).alias("x1"))
+    assert quantile_edges(same, ["x1"], 8) == [[]]
+
+
+def test_boosting_without_any_split(spark, planted):
+    flat = planted.select(F.lit(1.0).alias("x1"), "label")
+    m = boosted_trees_fit(flat, ["x1"], "label", rounds=2)
+    assert m.transform_columns(flat, ["x1"], "p").where("p = 1").count() == 0
 
 
 def test_compare_classifiers_one_row_per_model(spark):
@@ -174,3 +222,115 @@ def test_compare_classifiers_one_row_per_model(spark):
     assert all(r.task == "late" and r.n == rows["nb"].n > 0 for r in rows.values())
     assert rows["nb"].accuracy > 0.6
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before   # features released
+
+
+def test_front_end_has_full_rank_and_drops_a_level(spark):
+    rows = [(float(i % 7), "abcde"[i % 5], "uv"[i % 3 % 2], 1.0) for i in range(210)]
+    df = spark.createDataFrame(rows, "n double, c string, d string, label double")
+    front = Pipeline(stages=feature_stages(["n"], ["c", "d"])).fit(df)
+    out = np.array([r[0].toArray() for r in front.transform(df).select("features").collect()])
+    assert out.shape[1] == 1 + 4 + 1
+    design = np.column_stack([np.ones(len(out)), out])
+    assert np.linalg.matrix_rank(design) == design.shape[1]
+    assert set(np.unique(out[:, 1:])) == {0.0, 1.0}     # dummies are not scaled
+    new = spark.createDataFrame([(1.0, "unseen", None, 1.0)], df.schema)
+    assert front.transform(new).first()["features"].toArray()[1:].tolist() == [0.0] * 5
+
+
+def test_detect_fraud_on_the_planted_rule(spark, planted):
+    from quayside.operators.tasks import detect_fraud
+    X = planted.withColumn("fraud", F.col("label").cast("int"))
+    floors = {"logistic": 0.6, "naive_bayes": 0.4, "forest": 0.5, "tree": 0.5, "boosted": 0.6}
+    for name, floor in floors.items():
+        pred = detect_fraud(X, ZOO[name][0](), numeric=FEATS, categorical=[])
+        r = confusion(pred).first()
+        assert r.f1 >= floor and r.recall >= 0.6, (name, r)
+
+
+def test_revenue_and_quantity_find_planted_weights(spark, planted):
+    from quayside.operators.regression import linear_regression, regression_metrics
+    from quayside.operators.tasks import predict_quantity, predict_revenue
+    for run, goal in ((predict_revenue, "revenue"), (predict_quantity, "quantity")):
+        pred = run(planted.withColumn(goal, F.col("target")), linear_regression(),
+                   numeric=FEATS, categorical=[])
+        assert regression_metrics(pred).first().r2 > 0.999
+
+
+def test_logistic_gradient_is_zero_at_the_fit(spark, planted):
+    from pyspark.ml.feature import VectorAssembler
+    df = VectorAssembler(inputCols=FEATS, outputCol="features").transform(planted)
+    m = C.logistic(regParam=0.0, tol=1e-12, maxIter=500).fit(df)
+    pdf = planted.select(*FEATS, "label").toPandas()
+    X, y = pdf[FEATS].to_numpy(), pdf["label"].to_numpy()
+    p = 1 / (1 + np.exp(-(X @ m.coefficients.toArray() + m.intercept)))
+    assert abs((p - y).mean()) < 1e-5 and np.abs(((p - y)[:, None] * X).mean(axis=0)).max() < 1e-5
+
+
+def test_knn_with_an_outlier_and_a_dense_cell(spark):
+    rng = np.random.default_rng(5)
+    pts = np.concatenate([rng.normal(0, 1e-3, (400, 3)), rng.uniform(0, 1, (200, 3)),
+                          [[1e6, 0, 0]]])
+    rows = [(i, *map(float, p), float(i % 2)) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, label double")
+    from quayside.operators.knn import knn_neighbors
+    got = knn_neighbors(df, df, ["a", "b", "c"], 4, train_id="id", query_id="id",
+                        exclude_self=True, pivots=20, block_rows=64).collect()
+    near = {}
+    for r in got:
+        near.setdefault(r.id, []).append((r.rank0, r.tid))
+    for i, p in enumerate(pts):
+        d = ((pts - p) ** 2).sum(axis=1)
+        d[i] = np.inf
+        order = sorted(range(len(pts)), key=lambda j: (d[j], j % 2, j))[:4]
+        assert [t for _, t in sorted(near[i])] == order, i
+
+
+def test_knn_pivots_prune(spark, monkeypatch):
+    """With clusters far apart, each query meets its own cluster's items only."""
+    import quayside.operators.knn as K
+    met = []
+    real = K._search
+
+    def spy(items, visits, k, exclude_self, **kw):
+        sizes = items.groupBy("block").count()
+        met.append(visits.join(sizes, "block").agg(F.sum("count")).first()[0] or 0)
+        return real(items, visits, k, exclude_self, **kw)
+    monkeypatch.setattr(K, "_search", spy)
+    rng = np.random.default_rng(2)
+    pts = np.concatenate([rng.normal(100 * c, 1, (60, 2)) for c in range(10)] + [[[1e7, 1e7]]])
+    df = spark.createDataFrame([(i, *map(float, p), 1.0) for i, p in enumerate(pts)],
+                               "id long, a double, b double, label double")
+    K.knn_neighbors(df, df, ["a", "b"], 3, train_id="id", query_id="id", exclude_self=True,
+                    pivots=40).count()
+    assert 0 < sum(met) < 0.35 * len(pts) ** 2
+
+
+def test_knn_vectors_of_any_length_and_empty_training(spark):
+    rows = [(i, [float(i % 4), 0.0, float(i)] + [0.5] * 70, i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    got = knn_predict(df, df, "v", 1, train_id="id", query_id="id", exclude_self=True)
+    assert got.count() == 30
+    none = knn_predict(df.where("id < 0"), df, "v", 3, train_id="id", query_id="id")
+    assert none.columns == ["id", "prediction"] and none.count() == 0
+
+
+def test_knn_lsh_recall(spark):
+    from quayside.operators.knn import knn_neighbors
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 8)) * 4
+    pts = centres[rng.integers(0, 30, 900)] + rng.normal(size=(900, 8)) * 0.3
+    df = spark.createDataFrame([(i, [float(x) for x in p], float(i % 2)) for i, p in enumerate(pts)],
+                               "id long, v array<double>, label double")
+    a, b = ({(r.id, r.tid) for r in knn_neighbors(
+        df, df, "v", 5, train_id="id", query_id="id", exclude_self=True, method=m).collect()}
+        for m in ("exact", "lsh"))
+    assert len(a) == len(b) == 900 * 5
+    assert len(a & b) >= 0.9 * len(a)
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(Vectors.dense([1.0]), 0.0), (Vectors.dense([1.0, 2.0]), 1.0)],
+                               ["features", "label"])
+    with pytest.raises(ValueError):
+        knn(k=1).fit(df)

@@ -30,7 +30,7 @@ def test_split_adds_no_exchange(spark):
     assert _plan(train).count("Exchange") == _plan(lines).count("Exchange")
 
 
-def test_knn_levels_are_equi_joins(spark, monkeypatch):
+def test_knn_search_is_equi_joins(spark, monkeypatch):
     plans = []
     real = K.checkpoint
 
@@ -41,9 +41,10 @@ def test_knn_levels_are_equi_joins(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, *map(float, p), float(i % 2)) for i, p in enumerate(rng.normal(size=(200, 4)))]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, label double")
-    K.knn_predict(df, df, ["a", "b", "c", "d"], 3, train_id="id", query_id="id",
-                  exclude_self=True).collect()
+    last = K.knn_predict(df, df, ["a", "b", "c", "d"], 3, train_id="id", query_id="id",
+                         exclude_self=True)
+    last.collect()
     assert plans
-    for p in plans:
+    for p in [*plans, _plan(last)]:
         for c in CROSS:
             assert c not in p

@@ -29,3 +29,11 @@ def test_order_lines_schema_and_labels(spark):
 def test_checkpoint_dir_is_kept(spark):
     before = spark.sparkContext.getCheckpointDir()
     assert ensure_checkpoint_dir(spark) == before
+
+
+def test_read_table_rejects_other_types(spark, tmp_path):
+    spark.read.parquet(os.path.join(SF_SMALL, "part.parquet")) \
+        .selectExpr("* except (p_size)", "cast(p_size as string) AS p_size") \
+        .write.parquet(str(tmp_path / "part.parquet"))
+    with pytest.raises(ValueError, match="p_size"):
+        read_table(spark, str(tmp_path), "part")
