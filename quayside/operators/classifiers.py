@@ -27,16 +27,16 @@ def gaussian_nb(features="features", label="label") -> NaiveBayes:
     return NaiveBayes(modelType="gaussian", featuresCol=features, labelCol=label)
 
 
-def linear_svm(maxIter: int = 100, regParam: float = 0.01, features="features",
-               label="label") -> LinearSVC:
+def linear_svm(maxIter: int = 100, regParam: float = 0.01, tol: float = 1e-6,
+               standardization: bool = True, features="features", label="label") -> LinearSVC:
     """C4: linear support vector machine (hinge loss, OWL-QN).
 
     The kernel is not stated for this capability; a linear SVM is the form
     that scales by distributed gradients.  Keep ``regParam > 0`` and scaled
     features: unregularised runs on weak features can stall.
     """
-    return LinearSVC(maxIter=maxIter, regParam=regParam, featuresCol=features,
-                     labelCol=label)
+    return LinearSVC(maxIter=maxIter, regParam=regParam, tol=tol,
+                     standardization=standardization, featuresCol=features, labelCol=label)
 
 
 def random_forest(numTrees: int = 20, maxDepth: int = 5, seed: int = 7, maxBins: int = 32,
