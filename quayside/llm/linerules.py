@@ -72,10 +72,10 @@ def repeated_words(words: Column, span: int = 5) -> Column:
     """Number of words that lie in ``span``-word windows found twice or more."""
     begins = F.sequence(F.lit(0), F.size(words) - span)
 
-    def by_hash(hashes, low):
+    def by_hash(windows, low):
         high = lambda x: x.bitwiseAND(F.bitwise_not(low))
-        marks = F.sort_array(F.transform(begins, lambda i: high(F.xxhash64(
-            *[F.get(hashes, i + s) for s in range(span)])).bitwiseOR(i.cast("long"))))
+        marks = F.sort_array(F.transform(
+            windows, lambda h, i: high(h).bitwiseOR(i.cast("long"))))
         return let(marks, lambda m: _neighbours(m, lambda a, b: high(a) == high(b)))
 
     def collide(found, low):
@@ -96,8 +96,8 @@ def repeated_words(words: Column, span: int = 5) -> Column:
         return let(windows, lambda w: F.sort_array(F.transform(
             _neighbours(w, lambda a, b: a["w"] == b["w"]), lambda x: x["i"])))
 
-    def count(hashes, low):
-        return let(by_hash(hashes, low), lambda found: F.when(
+    def count(windows, low):
+        return let(by_hash(windows, low), lambda found: F.when(
             F.size(found) == 0, F.lit(0).cast("long")).otherwise(let(
                 F.when(collide(found, low), exact()).otherwise(F.sort_array(
                     F.transform(found, lambda x: x.bitwiseAND(low)))),
@@ -106,8 +106,12 @@ def repeated_words(words: Column, span: int = 5) -> Column:
     # the low bits hold a position, the high ones a part of the hash
     low = F.call_function("shiftleft", F.lit(1).cast("long"),
                           F.ceil(F.log2(F.size(words) + 1.0)).cast("int")) - 1
-    some = let(F.transform(words, lambda w: F.xxhash64(w)),
-               lambda hashes: let(low, lambda mask: count(hashes, mask)))
+    windows = let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: F.transform(
+        begins, lambda i: F.xxhash64(*[F.get(hashes, i + s) for s in range(span)])))
+    # most texts repeat nothing, and a set of their hashes shows it
+    some = let(windows, lambda h: F.when(
+        F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
+            let(low, lambda mask: count(h, mask))))
     return F.when(F.size(words) < span, F.lit(0).cast("long")).otherwise(some)
 
 
@@ -119,31 +123,40 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     df = docs.select(F.col(id_col).alias("doc_id"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counted = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: F.struct(
-        F.size(words).cast("long").alias("n"), repeated_words(words, span).alias("r")))
+        F.size(words).cast("long").alias("n"), _length(F.array_join(words, "")).alias("c"),
+        repeated_words(words, span).alias("r")))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(without(x, SPACES)) > 0)
     df = df.withColumn("counted", counted).withColumn("lines", lines)
     return df.select(
         "doc_id", "text", F.col("counted")["n"].alias("n_words"),
-        _length(without(text, SPACES)).alias("word_chars"),
-        (_length(text) - _length(without(text, SYMBOLS))).alias("n_symbols"),
+        F.col("counted")["c"].alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.col("counted")["r"].alias("n_repeat_words"), "lines")
 
 
-def good_line(line: Column) -> Column:
-    """Whether a line passes the punctuation, navigation and boilerplate rules."""
-    chars = F.length(without(line, SPACES))
-    marks = F.length(line) - F.length(without(line, SYMBOLS + "!"))
-    words = F.regexp_count(line, F.lit(WORD))
-    punctuation = (marks * 10 <= chars) & (
-        (words < 40) | line.rlike(r"[.?:;,…。؟]"))
-    bars = F.length(line) - F.length(without(line, "|»›•·"))
-    navigation = (bars < 2) | (bars * 10 < words)
+def good_line(line: Column, marked: Column, phrased: Column) -> Column:
+    """Whether a line passes the punctuation, navigation and boilerplate rules.
+
+    ``marked`` and ``phrased`` say whether the whole text has any of the marks
+    or phrases that the rules look for; most texts have none, and their lines
+    need not be searched."""
+    words = lambda: F.regexp_count(line, F.lit(WORD))
+    marks = F.regexp_count(line, F.lit(f"[{SYMBOLS}!]"))
+    bars = F.regexp_count(line, F.lit("[|»›•·]"))
+    few_marks = ~marked | (marks * 10 <= F.length(without(line, SPACES)))
+    sentence = line.rlike(r"[.?:;,…。؟]") | (words() < 40)
+    navigation = ~marked | (bars < 2) | (bars * 10 < words())
     low = F.lower(line)
-    boilerplate = F.lit(False)
+    boilerplate = let(low, _has_phrase)
+    return few_marks & navigation & sentence & ~(phrased & boilerplate)
+
+
+def _has_phrase(low: Column) -> Column:
+    found = F.lit(False)
     for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
-    return punctuation & navigation & ~boilerplate
+        found = found | low.contains(phrase)
+    return found
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10,
@@ -151,11 +164,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """Per row: doc_id, the measures, base_failed, kept, lost_chars (word
     characters of removed lines) and clean_text (the lines that pass)."""
     df = measures(docs, id_col, text_col)
-    good = F.filter("lines", good_line)
-    df = df.withColumn("good", good)
-    df = df.withColumn("clean_text", F.array_join("good", "\n"))
-    df = df.withColumn("lost_chars",
-                       F.col("word_chars") - _length(without(F.col("clean_text"), SPACES)))
+    # no phrase has a line break, so a line's phrase is one of the text's
+    flags = F.struct(F.col("text").rlike(f"[{SYMBOLS}!»›•·]").alias("marked"),
+                     let(F.lower("text"), _has_phrase).alias("phrased"))
+
+    def split(keep: bool) -> Column:
+        return let(flags, lambda f: F.filter("lines", lambda x: good_line(
+            x, f["marked"], f["phrased"]) == F.lit(keep)))
+
+    df = df.withColumn("clean_text", F.array_join(split(True), "\n"))
+    df = df.withColumn("lost_chars", _length(without(F.array_join(split(False), ""), SPACES)))
     base = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeated_pct * F.col("n_words"))
     df = df.withColumn("base_failed", base)
