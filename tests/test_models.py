@@ -334,3 +334,13 @@ def test_vectors_of_different_lengths_are_refused(spark):
                                ["features", "label"])
     with pytest.raises(ValueError):
         knn(k=1).fit(df)
+
+
+def test_tree_fits_leave_no_checkpoint_files(spark, planted):
+    import os
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    count = lambda: sum(len(files) for _, _, files in os.walk(folder))
+    before = count()
+    extra_trees_fit(planted, FEATS, "label", num_trees=2, max_depth=2)
+    boosted_trees_fit(planted, FEATS, "label", rounds=3, max_depth=2, refresh=2)
+    assert count() <= before
