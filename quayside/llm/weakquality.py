@@ -33,6 +33,7 @@ BUCKETS, SHAPES = 1 << 16, 4096
 #: Whole-text ratios: all by word but the last two, by character and letter.
 RATIOS = ("symbols", "bars", "shouts", "plain", "echoes", "letters", "upper")
 WIDTH = BUCKETS + SHAPES + len(RATIOS) + 1      # and "no word"
+SLICE = 3_000_000   # characters of text worked on at a time
 SYMBOLS = frozenset("#*$%&<>")
 MARKS = frozenset(".,;:?!")
 
@@ -72,7 +73,7 @@ class WordTable:
     are the numbers of text i's words.  What is known of a word is looked up
     once per distinct word of a slice, and kept in ``cache``."""
 
-    def __init__(self, texts: pa.Array, cache: dict, make, cache_entries: int = 400_000):
+    def __init__(self, texts: pa.Array, cache: dict, make, cache_entries: int = 200_000):
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         lists = pc.ascii_split_whitespace(texts)    # the six ASCII characters
         numbered = lists.values.dictionary_encode()
@@ -82,11 +83,11 @@ class WordTable:
         for w in numbered.dictionary.to_pylist():
             got = cache.get(w)
             if got is None:
-                got = make(w)
+                got = np.array(make(w), dtype=float).tobytes()
                 if len(cache) < cache_entries:
                     cache[w] = got
             known.append(got)
-        self.known = np.array(known, dtype=float).reshape(len(known), -1)
+        self.known = np.frombuffer(b"".join(known)).reshape(len(known), -1)
 
     def sums(self) -> np.ndarray:
         """Per text, the sums of what is known over its words."""
@@ -215,7 +216,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cache: dict = {}
         for batch in batches:
             found: dict[str, int] = {}
-            for a, b in slices(batch.column(0).to_pylist()):
+            for a, b in slices(batch.column(0).to_pylist(), chars=SLICE):
                 table = WordTable(batch.column(0).slice(a, b - a), cache, word_counts)
                 rows, n = np.unique(votes(table.sums(), table.echoes()), axis=0,
                                     return_counts=True)
@@ -247,7 +248,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = []
             drawn = batch.column(0).to_numpy()
             texts = batch.column(1)
-            for a, b in slices(texts.to_pylist()):
+            for a, b in slices(texts.to_pylist(), chars=SLICE):
                 part = texts.slice(a, b - a)
                 table = WordTable(part, cache, lambda w: (
                     *word_counts(w), *(word_buckets(w) if w else (-1, -1))))
@@ -288,7 +289,7 @@ class Scorer:
     def score(self, texts: pa.Array) -> np.ndarray:
         """Probability of junk of each text."""
         out = [np.zeros(0)]
-        for a, b in slices(texts.to_pylist()):
+        for a, b in slices(texts.to_pylist(), chars=SLICE):
             table = WordTable(texts.slice(a, b - a), self.cache, self._word)
             sums, echoes = table.sums(), table.echoes()
             z = sums[:, 8] / np.maximum(sums[:, 0], 1) + self.w[-1]
