@@ -23,16 +23,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, written
 from .tokens import encoder, slices
 
-PIECES = ("piece_id long, doc_id long, start long, length long, "
-          "ids binary, doc_tokens long")
-_SCHEMA = pa.schema([("piece_id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
-                     ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
+FIELDS = ("piece_id", "doc_id", "start", "length", "carried", "doc_tokens")
+CARRIED = {"binary": pa.binary(), "long": pa.int64()}
 
 
 class OpenWindows:
@@ -96,10 +94,13 @@ def best_fit_decreasing(lengths, capacity: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def pieces(docs: DataFrame, window: int = 2048, end_id: int = 1, id_col: str = "doc_id",
-           text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+           text_col: str = "text", tokenizer: str | None = None,
+           carry: Callable[[bytes], object] = bytes, carried: str = "binary") -> DataFrame:
     """Token pieces of at most ``window`` ids: every full window of a document
-    and its tail.  ``ids`` holds little-endian uint32."""
+    and its tail.  ``carried`` is what ``carry`` makes of the piece's ids
+    (little-endian uint32), as a binary or long column; by default the ids."""
     end = np.array([end_id], dtype="<u4").tobytes()
+    types = [CARRIED[carried] if f == "carried" else pa.int64() for f in FIELDS]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -107,55 +108,55 @@ def pieces(docs: DataFrame, window: int = 2048, end_id: int = 1, id_col: str = "
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                cols: list[list] = [[] for _ in _SCHEMA]
+                cols: list[list] = [[] for _ in FIELDS]
                 for key, ids in zip(keys[a:b], enc.encode(texts[a:b])):
                     ids += end
                     total = len(ids) // 4
                     for s in range(0, total, window):
                         part = ids[4 * s:4 * (s + window)]
-                        for col, v in zip(cols, (n, key, s, len(part) // 4, part, total)):
+                        for col, v in zip(cols, (n, key, s, len(part) // 4, carry(part), total)):
                             col.append(v)
                         n += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
+                    [pa.array(c, t) for c, t in zip(cols, types)], names=list(FIELDS))
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                          F.col(text_col).alias("text"))
-    return narrow.mapInArrow(cut, PIECES)
+    return narrow.mapInArrow(cut, ", ".join(
+        f"{f} {carried if f == 'carried' else 'long'}" for f in FIELDS))
 
 
 def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, id_col: str = "doc_id",
          text_col: str = "text", tokenizer: str | None = None, group_rows: int = 4096,
-         carry: Callable[[Column], Column] | None = None, name: str = "ids") -> DataFrame:
+         carry: Callable[[bytes], object] = bytes, carried: str = "binary",
+         name: str = "ids") -> DataFrame:
     """Pack ``docs``: one row per piece with doc_id, start, length, ``name``,
     doc_tokens, sequence_id and offset.
 
-    ``name`` holds the piece's ids (binary, little-endian uint32), or whatever
-    ``carry`` makes of them when only a digest has to travel through the
-    shuffle.
+    ``name`` holds the piece's ids (binary, little-endian uint32), or what
+    ``carry`` makes of them where only a digest has to travel through the
+    shuffle (of type ``carried``: binary or long).
     """
-    made = pieces(docs, window, end_id, id_col, text_col, tokenizer)
-    value = (carry or (lambda c: c))(F.col("ids"))
-    made = written(made.select("piece_id", "doc_id", "start", "length", value.alias(name),
-                               "doc_tokens"), "pieces")
+    made = pieces(docs, window, end_id, id_col, text_col, tokenizer, carry, carried)
+    made = written(made.withColumnRenamed("carried", name), "pieces")
     full = made.where(F.col("length") == window)
     tails = made.where(F.col("length") < window)
     groups = parts_for(tails.count(), group_rows)
     tails = tails.withColumn("group", F.pmod(F.xxhash64("piece_id"), F.lit(groups)))
     order = ["doc_id", "start", "length", name, "doc_tokens", "sequence_id", "offset"]
 
-    def place(key, rows):
-        rows = rows.sort_values("piece_id", kind="stable")
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("piece_id")
         where, offset = best_fit_decreasing(rows["length"].to_numpy(), window)
         # full windows have even sequence ids, shared windows odd ones
-        rows["sequence_id"] = ((int(key[0]) << 32) + where) * 2 + 1
-        rows["offset"] = offset
-        return rows[order]
+        sequence = ((key[0].as_py() << 32) + where) * 2 + 1
+        return (rows.select(order[:-2]).append_column("sequence_id", pa.array(sequence))
+                .append_column("offset", pa.array(offset)))
 
     fields = {f.name: f for f in made.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString() if c in fields else 'bigint'}"
                        for c in order)
-    packed = tails.groupBy("group").applyInPandas(place, schema)
+    packed = tails.groupBy("group").applyInArrow(place, schema)
     whole = full.select("doc_id", "start", "length", name, "doc_tokens",
                         (F.col("piece_id") * 2).alias("sequence_id"),
                         F.lit(0).cast("long").alias("offset"))

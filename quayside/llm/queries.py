@@ -3,6 +3,8 @@ whole table and derive the digest columns of its result."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from .common import scratch, table
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1,
-                        carry=F.crc32, name="ids_crc32")
+                        carry=zlib.crc32, carried="long", name="ids_crc32")
 
 
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,8 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, end_id=0)
-    return tokenfile.read_token_files(spark, path, carry=F.crc32, name="ids_crc32")
+    return tokenfile.read_token_files(spark, path, carry=zlib.crc32, carried="long",
+                                      name="ids_crc32")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

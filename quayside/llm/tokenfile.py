@@ -10,10 +10,10 @@ A reader finds the table from the end of the file and decompresses the
 requested documents' frames alone.
 
 Files come in ascending document id order: documents are range-partitioned
-by id, sorted, and each partition writes files of about ``file_bytes``.
+by id and text hash, sorted, and each partition writes files of about ``file_bytes``.
 
 Defined cases: a null text is stored as the end id alone; null ids come
-first; repeated ids are ordered by text and kept each; an empty table gives
+first; repeated ids are ordered by their text's hash and kept each; an empty table gives
 no file and reads back as no rows; only the id and text columns are read.
 """
 
@@ -26,10 +26,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blobs import read_blobs, write_blobs
+from .packing import CARRIED
 from .tokens import encoder, slices
 
 # fixed values of the format
@@ -95,8 +96,8 @@ class FileReader:
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id",
                       text_col: str = "text", tokenizer: str | None = None,
-                      vocabulary: int = 50_257, file_bytes: int = 8_000_000,
-                      level: int = 3) -> None:
+                      vocabulary: int = 50_257, file_bytes: int = 4_000_000,
+                      level: int = 1) -> None:
     """Encode every document and write the files to a new folder."""
     width = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -116,19 +117,19 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, id_col: str =
         if file.size:
             yield pa.RecordBatch.from_pydict({"file": [file.finish(part, number)]})
 
+    # the text's hash lets a repeated (or null) id be dealt to several partitions
     ordered = (docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-               .repartitionByRange("k").sortWithinPartitions("k", "t"))
+               .withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h")
+               .sortWithinPartitions("k", "h", "t").drop("h"))
     write_blobs(ordered.mapInArrow(build, "file binary"), "file", path, ENDING)
 
 
-_DOCS = "part int, number int, position long, doc_id long, before long, n_tokens long, ids binary"
-
-
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None,
-                     carry: Callable[[Column], Column] | None = None,
+                     carry: Callable[[bytes], object] = bytes, carried: str = "binary",
                      name: str = "ids") -> DataFrame:
     """Documents of the files: doc_id, start (ids before it in all files),
-    n_tokens and ``name`` (the ids, or what ``carry`` makes of them).
+    n_tokens and ``name``: the ids, or what ``carry`` makes of them (of type
+    ``carried``: binary or long).
 
     ``doc_ids``, a short list, limits the read to those documents; the other
     frames are not decompressed.
@@ -145,15 +146,15 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
                      "total": pa.array([sum(e[1] for e in r.entries)], pa.int64())})
 
     def documents(batches):
-        names = ["part", "number", "position", "doc_id", "before", "n_tokens", "ids"]
-        types = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
+        names = ["part", "number", "position", "doc_id", "before", "n_tokens", "carried"]
+        types = [pa.int32(), pa.int32(), *[pa.int64()] * 4, CARRIED[carried]]
         for batch in batches:
             for content in batch.column(0):
                 r = FileReader(content.as_py())
                 rows, size, before = [], 0, 0
                 for i, (key, n, *_) in enumerate(r.entries):
                     if wanted is None or key in wanted:
-                        rows.append((r.partition, r.number, i, key, before, n, r.ids(i)))
+                        rows.append((r.partition, r.number, i, key, before, n, carry(r.ids(i))))
                         size += n * 4
                     before += n
                     if rows and (size >= 8_000_000 or i + 1 == len(r.entries)):
@@ -167,8 +168,8 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("part", "number",
                          F.coalesce(F.sum("total").over(order), F.lit(0)).alias("file_start"))
-    value = (carry or (lambda c: c))(F.col("ids"))
-    docs = files.mapInArrow(documents, _DOCS).withColumn(name, value)
+    docs = files.mapInArrow(documents, "part int, number int, position long, doc_id long, "
+                                       f"before long, n_tokens long, carried {carried}")
     return (docs.join(starts, ["part", "number"])
             .select("doc_id", (F.col("file_start") + F.col("before")).alias("start"),
-                    "n_tokens", name))
+                    "n_tokens", F.col("carried").alias(name)))

@@ -109,8 +109,8 @@ def test_pack_places_every_id_once(spark):
 
 
 def test_pack_carries_a_digest(spark):
-    from pyspark.sql import functions as F
-    rows = packing.pack(helpers.docs(spark), carry=F.crc32, name="crc").collect()
+    rows = packing.pack(helpers.docs(spark), carry=zlib.crc32, carried="long",
+                        name="crc").collect()
     one = next(r for r in rows if r["doc_id"] == 7)
     ids = reference_ids(["word"])[0] + [1]
     assert one["crc"] == zlib.crc32(np.array(ids, "<u4").tobytes())

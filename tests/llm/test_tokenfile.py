@@ -3,6 +3,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import numpy as np
 import pytest
+import xxhash
 import zstandard
 
 import helpers
@@ -12,7 +13,10 @@ from quayside.llm.common import scratch
 
 
 def expected(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    def text_hash(t):       # as Spark's xxhash64
+        h = 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
     out, at = [], 0
     for r, ids in zip(rows, reference_ids([r[1] for r in rows])):
         ids = ids + [0]
