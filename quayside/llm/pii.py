@@ -7,7 +7,9 @@ with one of these kinds or none.  Its potentials are
 * per token: a softmax over shape, checks and neighbours' shapes;
 * chain: between tokens with only white space between them;
 * skip: between consecutive mentions of a similar token anywhere in the
-  document (same digits, or same address), however distant.
+  document (same address, or same digits, however they are grouped by marks
+  and white space, also where one mention is the end of the other: six digits
+  or more), however distant.
 
 Tokens of base spans are observed; damped loopy message passing then spreads
 their labels over chain and skip edges, and tokens whose marginal for a kind
@@ -45,6 +47,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 CANDIDATE = re.compile(r"[0-9@]")
+LEAST, MOST = 6, 19     # digits that tell a number from others; of the longest kind
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -140,12 +143,70 @@ def shape(token: str) -> str:
     return re.sub(r"9{6,}", "9+", out)[:40]
 
 
-def similarity_key(token: str) -> str | None:
-    """Tokens of one key are mentions of the same thing."""
-    if "@" in token:
-        return token.lower()
-    digits = NOT_DIGIT.sub("", token)
-    return digits if len(digits) >= 6 else None
+def overlapping(digits: list[str], i: int, j: int, size: int) -> Iterator[tuple[int, int]]:
+    """Pairs of tokens that share digits of two mentions, which end with the
+    tokens i and j and agree in their last ``size`` digits."""
+    a, b = len(digits[i]), len(digits[j])
+    while True:
+        yield i, j
+        if min(a, b) >= size:
+            return
+        left, right = a <= b, b <= a
+        if left:
+            i -= 1
+            a += len(digits[i])
+        if right:
+            j -= 1
+            b += len(digits[j])
+
+
+def skip_edges(words: list[str], chained: list[bool]) -> list[tuple[int, int]]:
+    """Pairs of tokens in consecutive mentions of the same thing: an address,
+    or the digits of a run of tokens (``chained``: only white space before).
+
+    A mention of a number ends with any token and has its last LEAST to MOST
+    digits, or all digits of a longer token.  Two mentions with the same
+    digits are linked if one of them begins where a token begins; of the
+    mentions that end with a token, the longest that is known counts.  Longer
+    equal runs are linked by the mentions they consist of."""
+    digits = ["" if "@" in w else NOT_DIGIT.sub("", w) for w in words]
+    found: dict[tuple[int, int], None] = {}     # in order, each once
+    addresses: dict[str, int] = {}
+    whole: dict[str, int] = {}      # last token of mentions that begin with a token
+    ending: dict[str, int] = {}     # and of all mentions
+    tail, starts = "", {}           # the run's last digits; token by digits up to the run's end
+    for j, (word, own) in enumerate(zip(words, digits)):
+        if not own:
+            key = word.lower()
+            if key in addresses:
+                found[addresses[key], j] = None
+            addresses[key] = j
+            tail, starts = "", {}
+            continue
+        if not chained[j]:
+            tail, starts = "", {}
+        starts = {n + len(own): i for n, i in starts.items() if n + len(own) <= MOST}
+        starts[len(own)] = j
+        tail = (tail + own)[-MOST:]
+        mentions = [(n, tail[-n:]) for n in range(len(tail), LEAST - 1, -1)]
+        if len(own) > MOST:
+            mentions.insert(0, (len(own), own))
+        for n, mention in mentions:
+            i = (ending if n in starts else whole).get(mention)
+            if i is None:
+                continue
+            first, before = j, len(own)     # the token in which the mention begins
+            while before < n:
+                first -= 1
+                before += len(digits[first])
+            if i < first:
+                found.update(dict.fromkeys(overlapping(digits, i, j, n)))
+                break
+        for n, mention in mentions:
+            ending[mention] = j
+            if n in starts:
+                whole[mention] = j
+    return list(found)
 
 
 def features_of(token: str) -> list[str]:
@@ -162,17 +223,15 @@ def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
     tokens = tokens_of(text)
     words = [text[a:b] for a, b in tokens]
     shapes = [shape(w) for w in words]
-    features, edges, last = [features_of(w) for w in words], [], {}
-    for i, w in enumerate(words):
-        if i and not text[tokens[i - 1][1]:tokens[i][0]].strip(SPACES):
+    features, edges = [features_of(w) for w in words], []
+    chained = [i > 0 and not text[tokens[i - 1][1]:a].strip(SPACES)
+               for i, (a, _) in enumerate(tokens)]
+    for i in range(len(words)):
+        if chained[i]:
             edges.append((i - 1, i, 0))
             features[i].append(f"before={shapes[i - 1]}")
             features[i - 1].append(f"after={shapes[i]}")
-        key = similarity_key(w)
-        if key is not None:
-            if key in last:
-                edges.append((last[key], i, 1))
-            last[key] = i
+    edges += [(i, j, 1) for i, j in skip_edges(words, chained)]
     labels = [0] * len(tokens)
     for kind, a, b in reversed(base):   # the kind listed first wins
         i = int(np.searchsorted([t[1] for t in tokens], a, side="right"))
@@ -191,7 +250,11 @@ class Field(NamedTuple):
 def fit_field(graphs: list[Graph], least: int = 3, rounds: int = 200, l2: float = 1e-3) -> Field:
     """Train the potentials piece by piece: token potentials as a softmax
     regression, edge potentials as smoothed log association of the labels.
-    A prior of agreement is added to the counts of skip edges."""
+
+    The patterns see few of the mentions that skip edges are there for, so the
+    sample cannot say how often the labels of a skip edge agree.  They do
+    unless the digits are equal by chance, 10 ** -LEAST; trained is the share
+    of each label, with a prior of 4 mentions a label."""
     k = len(KINDS) + 1
     seen: dict[str, int] = {}
     for g in graphs:
@@ -212,6 +275,8 @@ def fit_field(graphs: list[Graph], least: int = 3, rounds: int = 200, l2: float
     share = counts.sum(axis=2, keepdims=True) / counts.sum(axis=(1, 2), keepdims=True)
     joint = counts / counts.sum(axis=(1, 2), keepdims=True)
     pairs = np.clip(np.log(joint / (share * share.transpose(0, 2, 1))), -4, 4)
+    chance = 10.0 ** -LEAST
+    pairs[1] = np.log(chance + (1 - chance) * np.eye(k) / share[1])
     if len(y):
         row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         col = np.array([f for r in rows for f in r], dtype=np.int64)

@@ -72,6 +72,46 @@ def test_distant_mentions_share_a_label():
     assert pii.added_spans(lone, pii.base_spans(lone), field, 0.9) == []
 
 
+def linked(text):
+    """Pairs of tokens, as written, that a skip edge joins."""
+    g = pii.graph_of(text, [])
+    word = [text[a:b] for a, b in g.tokens]
+    return sorted((word[i], word[j]) for i, j, kind in g.edges if kind == 1)
+
+
+def test_mentions_written_in_groups_are_linked():
+    far = " is it. " + "Nothing here. " * 20 + "Again "
+    phone = "+44 20 7946 0958"
+    assert linked(phone + far + "20 7946 0958.") == [
+        ("0958", "0958"), ("20", "20"), ("7946", "7946")]
+    card = "4111 1111 1111 1111"
+    assert len(linked(card + far + card + " 2024")) >= 4
+    assert linked(card + far + "4111111111111111") == [
+        (g, "4111111111111111") for g in sorted(card.split())]
+    # a part of a number, in another grouping, before and after the whole
+    assert linked("+442079460958" + far + "7946-0958") == [("+442079460958", "7946-0958")]
+    assert linked("7946 0958" + far + "+442079460958") == [
+        ("0958", "+442079460958"), ("7946", "+442079460958")]
+    # neither is a part of the other, too few digits, not one run
+    assert linked("91234567" + far + "81234567") == []
+    assert linked("call 20 79" + far + "20 79") == []
+    assert linked("20 7946" + far + "20 and 7946") == []
+    # a mention never overlaps itself, and a long digit token costs little
+    assert all(i != j for i, j, _ in pii.graph_of("111111 11 1111 0 0 0 0 0 0 0", []).edges)
+    long = "7" * 100_000
+    assert linked(long + far + long) == [(long, long)]
+
+
+def test_distant_mentions_in_groups_share_a_label():
+    field = trained()
+    text = "Call +44 20 7946 0958 today. " + "Nothing here. " * 50 + "As said, 20 7946 0958 it is."
+    base = pii.base_spans(text)
+    added = pii.added_spans(text, base, field, 0.9)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [("phone", "20 7946 0958")]
+    other = text.replace("As said, 20 7946 0958", "As said, 31 8057 1069")
+    assert pii.added_spans(other, pii.base_spans(other), field, 0.9) == []
+
+
 def test_message_passing_is_exact_on_a_tree():
     rnd = np.random.default_rng(3)
     k = len(pii.KINDS) + 1
