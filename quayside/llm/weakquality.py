@@ -32,7 +32,7 @@ from .tokens import slices
 BUCKETS, SHAPES = 1 << 16, 4096
 #: Whole-text ratios: all by word but the last two, by character and letter.
 RATIOS = ("symbols", "bars", "shouts", "plain", "echoes", "letters", "upper")
-WIDTH = BUCKETS + SHAPES + len(RATIOS) + 1      # and "no word"
+WIDTH = BUCKETS + SHAPES + len(RATIOS) + 2      # and distinct share, "no word"
 SLICE = 3_000_000   # characters of text worked on at a time
 SYMBOLS = frozenset("#*$%&<>")
 MARKS = frozenset(".,;:?!")
@@ -104,6 +104,17 @@ class WordTable:
         run = np.cumsum(same)
         return run[self.cuts[1:]] - run[self.cuts[:-1]]
 
+    def distinct(self) -> np.ndarray:
+        """Per text, how many distinct words it has."""
+        place, last = np.arange(len(self.at)), np.zeros(len(self.known), dtype=np.int64)
+        words, cuts = self.known[:, 0] > 0, self.cuts.tolist()
+        out = np.zeros(len(cuts) - 1, dtype=np.int64)
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            part, order = self.at[a:b], place[a:b]
+            last[part] = order      # of a word's places one stays
+            out[i] = np.count_nonzero((last[part] == order) & words[part])
+        return out
+
 
 def ratios(sums: np.ndarray, echoes: np.ndarray) -> np.ndarray:
     """A row of RATIOS per text (those that can be large are held at 3)."""
@@ -116,15 +127,21 @@ def ratios(sums: np.ndarray, echoes: np.ndarray) -> np.ndarray:
 
 # --- labellers -------------------------------------------------------------
 
-def votes(sums: np.ndarray, echoes: np.ndarray) -> np.ndarray:
+def votes(sums: np.ndarray, echoes: np.ndarray, distinct: np.ndarray) -> np.ndarray:
     """Per text and labeller: -1 junk, 1 good, 0 no vote.  The labellers
     overlap on purpose: empty, symbols, bars, shouts, capitals, letters,
-    echoes, prose, few marks."""
+    echoes, loops, prose, few marks.
+
+    Texts of over 20 words loop if under 30 % of their words are distinct;
+    that share falls with the length of any text, about as its root, so over
+    1111 words it takes under ten times the root of their number."""
     words = sums[:, 0]
     symbols, bars, shouts, plain, echo, letters, upper = ratios(sums, echoes).T
-    quiet = (upper < 0.3) & (echo < 0.1)
+    loops = (words > 20) & (distinct < np.minimum(0.3 * words, 10 * np.sqrt(words)))
+    quiet = (upper < 0.3) & (echo < 0.1) & ~loops
     junk = [words == 0, symbols > 0.3, bars > 0.15, shouts > 0.3, (upper > 0.5) & (words > 3),
-            (letters < 0.7) & (words > 0), (echo > 0.2) & (words > 3)]
+            (letters < 0.7) & (words > 0), (echo > 0.2) & (words > 3),
+            loops]
     good = [(plain > 0.8) & quiet, (symbols + bars + shouts < 0.1) & (letters > 0.8) & quiet]
     return np.stack([*(-j.astype(np.int64) for j in junk), *(g.astype(np.int64) for g in good)],
                     axis=1)
@@ -172,11 +189,13 @@ def features(table: WordTable, words: list[tuple[int, int]], i: int, extra: np.n
     total of 1 each for identity and shape."""
     at = table.at[table.cuts[i]:table.cuts[i + 1]]
     found: dict[int, float] = {}
-    real = [words[u] for u in at.tolist() if words[u] is not None]
+    numbers = [u for u in at.tolist() if words[u] is not None]
+    real = [words[u] for u in numbers]
     for pair in real:
         for b in pair:
             found[b] = found.get(b, 0.0) + 1 / len(real)
-    for k, v in enumerate([*extra.tolist(), float(not real)]):
+    for k, v in enumerate([*extra.tolist(), len(set(numbers)) / max(1, len(real)),
+                           float(not real)]):
         found[BUCKETS + SHAPES + k] = v
     return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), float, len(found))
 
@@ -218,8 +237,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found: dict[str, int] = {}
             for a, b in slices(batch.column(0).to_pylist(), chars=SLICE):
                 table = WordTable(batch.column(0).slice(a, b - a), cache, word_counts)
-                rows, n = np.unique(votes(table.sums(), table.echoes()), axis=0,
-                                    return_counts=True)
+                rows, n = np.unique(votes(table.sums(), table.echoes(), table.distinct()),
+                                    axis=0, return_counts=True)
                 for row, k in zip(rows, n.tolist()):
                     found[pattern(row)] = found.get(pattern(row), 0) + k
             yield pa.RecordBatch.from_pydict(
@@ -255,7 +274,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 pairs = [(int(r[8]), int(r[9])) if r[8] >= 0 else None for r in table.known]
                 sums, echoes = table.sums(), table.echoes()
                 extra = ratios(sums, echoes)
-                for i, row in enumerate(votes(sums, echoes)):
+                for i, row in enumerate(votes(sums, echoes, table.distinct())):
                     if drawn[a + i] < rates.get(pattern(row), 0.0):
                         out.append((pattern(row), *features(table, pairs, i, extra[i])))
             yield pa.RecordBatch.from_arrays(
@@ -293,7 +312,8 @@ class Scorer:
             table = WordTable(texts.slice(a, b - a), self.cache, self._word)
             sums, echoes = table.sums(), table.echoes()
             z = sums[:, 8] / np.maximum(sums[:, 0], 1) + self.w[-1]
-            z += ratios(sums, echoes) @ self.w[BUCKETS + SHAPES:WIDTH - 1]
+            z += ratios(sums, echoes) @ self.w[BUCKETS + SHAPES:WIDTH - 2]
+            z += table.distinct() / np.maximum(sums[:, 0], 1) * self.w[WIDTH - 2]
             z += (sums[:, 0] == 0) * self.w[WIDTH - 1]
             out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
         return np.concatenate(out)

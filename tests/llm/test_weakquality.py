@@ -77,6 +77,37 @@ def test_features_and_scorer_agree():
         assert p == pytest.approx(1 / (1 + np.exp(-(w[at] * value).sum() - w[-1])))
 
 
+def test_distinct_words_equal_plain_loops():
+    import pyarrow as pa
+    table = wq.WordTable(pa.array(TEXTS), {}, wq.word_counts)
+    assert table.distinct().tolist() == [len(set((t or "").encode().split())) for t in TEXTS]
+
+
+def loop(i):
+    return " ".join([f"the quiet river{i} passes the old harbour"] * 12)
+
+
+def test_loops_are_voted_junk_and_long_prose_is_not():
+    import pyarrow as pa
+    rnd = np.random.default_rng(4)
+    # words by Zipf's law: many repeat, as in any long text
+    long = " ".join("w" + "abcdefghij"[n % 10] * (1 + n // 10 % 9) + chr(97 + n % 26)
+                    + "".join("abcdefghij"[int(d)] for d in str(n))
+                    for n in np.minimum(rnd.zipf(1.3, 50_000), 10 ** 6).tolist())
+    assert len(set(long.split())) < 0.3 * 50_000
+    table = wq.WordTable(pa.array([helpers.PROSE, long, loop(1), "a b a b"]), {}, wq.word_counts)
+    got = wq.votes(table.sums(), table.echoes(), table.distinct())
+    assert got.min(axis=1).tolist() == [0, 0, -1, 0]
+    assert got.max(axis=1).tolist() == [1, 1, 0, 1]
+
+
+def test_loops_are_dropped(spark):
+    rows = corpus() + [helpers.row(5000 + i, loop(i)) for i in range(30)]
+    got = {r["doc_id"]: r["kept"] for r in wq.judge(helpers.docs(spark, rows)).collect()}
+    assert not any(got[5000 + i] for i in range(30))
+    assert all(got[1000 + i] for i in range(300) if i % 5)
+
+
 def test_junk_goes_and_good_stays(spark):
     rows = corpus() + helpers.awkward()
     got = {r["doc_id"]: r["kept"] for r in wq.judge(helpers.docs(spark, rows)).collect()
