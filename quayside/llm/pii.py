@@ -15,7 +15,7 @@ Tokens of base spans are observed; damped loopy message passing then spreads
 their labels over chain and skip edges, and tokens whose marginal for a kind
 reaches ``threshold`` become added spans (a number given in full once and in
 part elsewhere, for example).  All potentials are trained on a bounded sample
-of documents (``sample_docs``), labelled by the base spans.
+of distinct texts (``sample_docs``), labelled by the base spans.
 
 Positions are code points, ends exclusive.  Defined cases: null text counts
 as empty and has no spans; of overlapping spans of different kinds each is
@@ -358,28 +358,46 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field,
     return [tuple(s) for s in out]
 
 
+def head_of(graph: Graph, size: int) -> Graph:
+    """The graph of the first ``size`` tokens."""
+    return Graph(graph.tokens[:size], graph.features[:size],
+                 [e for e in graph.edges if e[0] < size and e[1] < size], graph.labels[:size])
+
+
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 2000,
-          seed: int = 3) -> Field:
-    """Fit the field on about ``sample_docs`` documents that have candidates."""
-    rows = docs.select(F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    n = rows.count()
+          seed: int = 3, sample_tokens: int = 100) -> Field:
+    """Fit the field on the first ``sample_tokens`` tokens of each of about
+    ``sample_docs`` distinct texts that have candidates; equal texts count
+    once, however many they are."""
+    rows = docs.select(F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]")).select(
+        "t", F.xxhash64("t", F.lit(seed)).alias("h"))
+    # the count of distinct texts need not be exact
+    n = rows.agg(F.approx_count_distinct("h").alias("n")).collect()[0]["n"]
     if n == 0:
         return fit_field([])
-    draw = F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()      # no more than the sample has
         for batch in batches:
-            found = [graph_of(t, base_spans(t)) for t in batch.column(0).to_pylist()]
+            hashes, found = [], []
+            for h, t in zip(batch.column(1).to_pylist(), batch.column(0)):
+                if h not in seen:
+                    seen.add(h)
+                    t = t.as_py()
+                    hashes.append(h)
+                    found.append(head_of(graph_of(t, base_spans(t)), sample_tokens))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g.features for g in found], pa.list_(pa.list_(pa.string()))),
+                [pa.array(hashes, pa.int64()),
+                 pa.array([g.features for g in found], pa.list_(pa.list_(pa.string()))),
                  pa.array([[list(e) for e in g.edges] for g in found],
                           pa.list_(pa.list_(pa.int32()))),
                  pa.array([g.labels for g in found], pa.list_(pa.int32()))],
-                names=["features", "edges", "labels"])
+                names=["h", "features", "edges", "labels"])
 
     got = rows.where(draw < min(1.0, sample_docs / n)).mapInArrow(
-        extract, "features array<array<string>>, edges array<array<int>>, labels array<int>"
-    ).collect()
+        extract, "h long, features array<array<string>>, edges array<array<int>>, "
+                 "labels array<int>").dropDuplicates(["h"]).collect()
     graphs = [Graph([], r["features"], [tuple(e) for e in r["edges"]], r["labels"]) for r in got]
     graphs.sort(key=lambda g: (g.features, g.labels))   # the order of rows does not matter then
     return fit_field(graphs)

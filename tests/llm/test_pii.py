@@ -132,6 +132,22 @@ def test_message_passing_is_exact_on_a_tree():
     assert np.abs(pii.marginals(g, field, rounds=200) - exact).max() < 5e-3
 
 
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """A text of a third of all rows is drawn once, a long one in part."""
+    got = []
+    monkeypatch.setattr(pii, "fit_field", lambda graphs: got.extend(graphs))
+    rows = [helpers.row(i, f"call 555-{1000 + i} now") for i in range(200)]
+    rows += [helpers.row(1000 + i, "the same 99 of all") for i in range(100)]
+    rows += [helpers.row(2000, " ".join(map(str, range(5000))))]
+    pii.train(helpers.docs(spark, rows).repartition(3))
+    assert len(got) == 202 and max(len(g.labels) for g in got) == 100
+    assert all(len(g.features) == len(g.labels) for g in got)
+    assert all(max(i, j) < 100 for g in got for i, j, _ in g.edges)
+    got.clear()
+    pii.train(helpers.docs(spark, rows), sample_docs=50)
+    assert 20 <= len(got) <= 90
+
+
 PRIVATE = [helpers.row(50, "mail jo.do@site.example.org, or +44 20 7946 0958\nfrom 10.0.0.1"),
            helpers.row(51, "card 4111-1111-1111-1111 and again 4111 1111 1111 1111."),
            helpers.row(52, "é☂ 漢 x@y.zz")]
