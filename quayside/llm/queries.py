@@ -13,8 +13,9 @@ from .common import scratch, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1,
-                        carry=zlib.crc32, carried="long", name="ids_crc32")
+    packed = packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
 
 
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

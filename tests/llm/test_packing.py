@@ -116,5 +116,25 @@ def test_pack_carries_a_digest(spark):
     assert one["crc"] == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_query_digests_the_packed_ids(spark, monkeypatch):
+    """The query packs the ids themselves and digests its result."""
+    from conftest import SF_SMALL
+    from quayside.llm import queries
+    made = []
+
+    def pack(*args, **kwargs):
+        made.append(packing_pack(*args, **kwargs))
+        return made[-1]
+    packing_pack = packing.pack
+    monkeypatch.setattr(packing, "pack", pack)
+    got = queries.op1_packing(spark, SF_SMALL)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+                           "offset"]
+    assert dict(made[0].dtypes)["ids"] == "binary" and dict(got.dtypes)["ids_crc32"] == "bigint"
+    want = Counter((r["sequence_id"], r["offset"], zlib.crc32(r["ids"]))
+                   for r in made[0].collect())
+    assert Counter((r["sequence_id"], r["offset"], r["ids_crc32"]) for r in got.collect()) == want
+
+
 def test_pack_empty_table(spark):
     assert packing.pack(helpers.empty(spark)).collect() == []
