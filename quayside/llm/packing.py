@@ -106,10 +106,10 @@ def pieces(docs: DataFrame, window: int = 2048, end_id: int = 1, id_col: str = "
         from pyspark import TaskContext
         enc, n = encoder(tokenizer), TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(batch.column(1)):
+                keys, texts = (c.slice(a, b - a).to_pylist() for c in batch.columns)
                 cols: list[list] = [[] for _ in FIELDS]
-                for key, ids in zip(keys[a:b], enc.encode(texts[a:b])):
+                for key, ids in zip(keys, enc.encode(texts)):
                     ids += end
                     total = len(ids) // 4
                     for s in range(0, total, window):

@@ -107,9 +107,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, id_col: str =
         part, number = TaskContext.get().partitionId(), 0
         enc, file = encoder(tokenizer), FileBuilder(width, level)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for key, ids in zip(keys[a:b], enc.encode(texts[a:b])):
+            for a, b in slices(batch.column(1)):
+                keys, texts = (c.slice(a, b - a).to_pylist() for c in batch.columns)
+                for key, ids in zip(keys, enc.encode(texts)):
                     file.add(key, ids + end)
                     if file.size >= file_bytes:
                         yield pa.RecordBatch.from_pydict({"file": [file.finish(part, number)]})

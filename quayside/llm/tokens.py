@@ -155,14 +155,17 @@ def encoder(path: str | None = None) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(texts, rows: int = 8192, chars: int = 8_000_000):
-    """Index ranges of at most ``rows`` texts and about ``chars`` characters,
-    so that a batch of very long texts is worked on in small parts."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if i + 1 - begin >= rows or size >= chars:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def slices(texts: pa.Array, rows: int = 8192, size: int = 4_000_000):
+    """Index ranges of at most ``rows`` texts and about ``size`` bytes of an
+    Arrow array (more only where one text has more), from its offsets alone:
+    a batch of long texts is worked on, and turned into Python strings, in
+    small parts."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    begin, n = 0, len(lengths)
+    while begin < n:
+        before = ends[begin - 1] if begin else 0
+        end = int(np.searchsorted(ends, before + size)) + 1
+        end = min(n, begin + rows, end)
+        yield begin, end
+        begin = end

@@ -235,7 +235,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cache: dict = {}
         for batch in batches:
             found: dict[str, int] = {}
-            for a, b in slices(batch.column(0).to_pylist(), chars=SLICE):
+            for a, b in slices(batch.column(0), size=SLICE):
                 table = WordTable(batch.column(0).slice(a, b - a), cache, word_counts)
                 rows, n = np.unique(votes(table.sums(), table.echoes(), table.distinct()),
                                     axis=0, return_counts=True)
@@ -267,7 +267,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = []
             drawn = batch.column(0).to_numpy()
             texts = batch.column(1)
-            for a, b in slices(texts.to_pylist(), chars=SLICE):
+            for a, b in slices(texts, size=SLICE):
                 part = texts.slice(a, b - a)
                 table = WordTable(part, cache, lambda w: (
                     *word_counts(w), *(word_buckets(w) if w else (-1, -1))))
@@ -308,7 +308,7 @@ class Scorer:
     def score(self, texts: pa.Array) -> np.ndarray:
         """Probability of junk of each text."""
         out = [np.zeros(0)]
-        for a, b in slices(texts.to_pylist(), chars=SLICE):
+        for a, b in slices(texts, size=SLICE):
             table = WordTable(texts.slice(a, b - a), self.cache, self._word)
             sums, echoes = table.sums(), table.echoes()
             z = sums[:, 8] / np.maximum(sums[:, 0], 1) + self.w[-1]
