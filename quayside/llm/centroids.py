@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from .common import parts_for, removed, scratch, written
 
 LONG = (1 << 63) - 1
+LIMB = 10 ** 18
 STATE = "row long, own int, seen binary, epoch binary, delta string"
 
 
@@ -72,14 +73,15 @@ def whole_numbers(x: np.ndarray, scale: int) -> np.ndarray:
     return np.array([int(v) for v in q.ravel().tolist()], dtype=object).reshape(q.shape)
 
 
+def comparable(rows: np.ndarray, centroids: list[list[int]]) -> np.ndarray:
+    """The rows, as Python's integers if a centroid is too far for others."""
+    far = max(abs(v) for c in centroids for v in c)
+    return rows.astype(object) if rows.shape[-1] * (2 * far + 1) ** 2 >= 2 ** 62 else rows
+
+
 def squared(rows: np.ndarray, centroid: list[int]) -> np.ndarray:
-    """Exact squared distances of the rows to one centroid."""
-    far = max(abs(v) for v in centroid)
-    if rows.dtype == object or len(centroid) * (2 * far + 1) ** 2 >= 2 ** 62:
-        rows, centroid = rows.astype(object), np.array(centroid, dtype=object)
-    else:
-        centroid = np.array(centroid, dtype=np.int64)
-    gap = rows - centroid
+    """Exact squared distances of (comparable) rows to one centroid."""
+    gap = rows - np.array(centroid, dtype=rows.dtype)
     return (gap * gap).sum(axis=1)
 
 
@@ -97,6 +99,7 @@ class Bounds:
 
     @classmethod
     def first(cls, rows: np.ndarray, centroids: list[list[int]]) -> "Bounds":
+        rows = comparable(rows, centroids)
         exact = np.column_stack([squared(rows, c) for c in centroids])
         got = cls(_root(exact), np.zeros(exact.shape, np.uint8), exact.argmin(axis=1))
         got.evaluated = exact.size
@@ -105,6 +108,7 @@ class Bounds:
     def update(self, rows: np.ndarray, history: list[list[list[int]]]) -> None:
         """Move to the newest centroids of ``history``."""
         now, k = len(history) - 1, self.seen.shape[1]
+        rows = comparable(rows, history[now])
         # norm of the total displacement since each round, by centroid
         moved = np.array([[math.sqrt(sum((a - b) ** 2 for a, b in zip(c, was)))
                            for c, was in zip(history[now], past)] for past in history])
@@ -158,14 +162,13 @@ def _binary(values: np.ndarray) -> pa.Array:
 
 def _delta(rows: np.ndarray, was: np.ndarray | None, own: np.ndarray, k: int) -> str:
     """Count and sum by cluster of what came, less what went."""
-    wide = rows.astype(object) if rows.dtype == object else rows
     out = np.zeros((k, rows.shape[1] + 1), dtype=object)
     for c in range(k):
         came = own == c if was is None else (own == c) & (was != c)
         for sign, at in ((1, came), *(((-1, (was == c) & (own != c)),) if was is not None else ())):
             if at.any():
                 out[c, 0] += sign * int(at.sum())
-                out[c, 1:] += sign * wide[at].sum(axis=0).astype(object)
+                out[c, 1:] += sign * rows[at].sum(axis=0).astype(object)
     return " ".join(str(v) for v in out.ravel())
 
 
@@ -207,6 +210,7 @@ def _final(history: list, scale: int, size: int) -> Callable:
                            batch.column(2).to_numpy().astype(np.int64))
             state.update(rows, history)
             exact = np.zeros(len(rows), dtype=object)
+            rows = comparable(rows, history[-1])
             for c in range(k):
                 mine = np.flatnonzero(state.own == c)
                 if len(mine):
@@ -226,15 +230,24 @@ def _sums(state: DataFrame) -> list[int]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 total = total + np.array([int(v) for v in text.split()], dtype=object)
-        if not isinstance(total, int):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(total)), pa.int32()),
-                 pa.array([str(v) for v in total], pa.string())], names=["place", "part"])
+        out: list = []
+        for place, v in enumerate([] if isinstance(total, int) else total.tolist()):
+            rest, limb = abs(v), 0
+            while rest or not limb:    # numbers of any length, by limbs
+                rest, low = divmod(rest, LIMB)
+                out.append((place, limb, low if v >= 0 else -low))
+                limb += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([o[i] for o in out], t) for i, t in enumerate(
+                (pa.int32(), pa.int32(), pa.int64()))], names=["place", "limb", "part"])
 
     rows = (state.where("delta IS NOT NULL").select("delta")
-            .mapInArrow(add, "place int, part string").groupBy("place")
+            .mapInArrow(add, "place int, limb int, part long").groupBy("place", "limb")
             .agg(F.sum(F.col("part").cast("decimal(38,0)")).alias("total")).collect())
-    return [int(r["total"]) for r in sorted(rows, key=lambda r: r["place"])]
+    out: dict[int, int] = {}
+    for r in rows:    # (size + 1) * k numbers
+        out[r["place"]] = out.get(r["place"], 0) + int(r["total"]) * LIMB ** r["limb"]
+    return [out[i] for i in range(len(out))]
 
 
 def starting(kept: DataFrame, k: int, salt: int, scale: int) -> list[list[int]]:

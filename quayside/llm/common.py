@@ -29,6 +29,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a shared scratch table and read it back.
 

@@ -116,4 +116,46 @@ ranked AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op2_line_rules": OP2, "op5_topk": OP5, "op4_mixing": OP4, "op8_warc": OP8}
+def _lloyd(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Lloyd's rounds, unrolled; whole numbers throughout."""
+    gap = (f"list_sum(list_transform(range(1, {size + 1}), "
+           "lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))")
+    parts = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q, embedding AS x
+  FROM embeddings
+  WHERE len(embedding) = {size}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR) NULLS LAST, x) - 1 AS c, q
+  FROM v QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, q, c, d FROM (
+    SELECT v.rid, v.vec_id, v.q, c.c, {gap} AS d,
+           row_number() OVER (PARTITION BY v.rid ORDER BY {gap}, c.c) AS place
+    FROM v CROSS JOIN c{r} c) WHERE place = 1)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS MATERIALIZED (
+  SELECT c, list(mean ORDER BY i) AS q FROM (
+    SELECT c, i, (total - ((total % n) + n) % n) // n AS mean FROM (
+      SELECT c, i, sum(q[i])::HUGEINT AS total, count(*)::HUGEINT AS n
+      FROM a{r} CROSS JOIN range(1, {size + 1}) t(i) GROUP BY c, i)) GROUP BY c),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.q, c.q)::BIGINT[] AS q FROM c{r} c LEFT JOIN m{r} m USING (c))""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d::BIGINT AS distance,
+       (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(f.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} f ON a.c = f.c
+"""
+
+
+OP12 = _lloyd()
+
+ORACLE_SQL = {"op2_line_rules": OP2, "op5_topk": OP5, "op4_mixing": OP4, "op8_warc": OP8,
+              "op12_ns_bounds": OP12}
