@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (centroids, linerules, mixing, packing, pii, simhash, slack, tokenfile, topk,
+from . import (centroids, dialogue, linerules, mixing, packing, pii, simhash, slack, tokenfile, topk,
                toxicity, warc, weakquality)
 from .common import scratch, table
 
@@ -72,6 +72,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return dialogue.digests(dialogue.repair(dialogue.damaged(turns), ids=turns))
+
+
 def op12_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64,
                              scale=1024, salt=3)
@@ -85,5 +90,5 @@ def op13_minimum_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_line_rules, op3_pii, op4_mixing, op5_topk, op6_token_files, op7_quality,
-    op8_warc, op9_toxicity, op10_simhash, op12_ns_bounds,
-    op13_minimum_slack)}
+    op8_warc, op9_toxicity, op10_simhash, op11_dialogue,
+    op12_ns_bounds, op13_minimum_slack)}

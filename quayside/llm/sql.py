@@ -157,5 +157,101 @@ FROM a{rounds} a JOIN c{rounds} f ON a.c = f.c
 
 OP12 = _lloyd()
 
+
+def _repair() -> str:
+    """Least cost and least edits, row by row: each state's best is one text,
+    the cost in nine digits and then the edits, so the least text is both."""
+    def add(s: str, cost: str, edit: str) -> str:
+        return (f"(lpad((substr({s}, 1, 9)::INTEGER + {cost})::VARCHAR, 9, '0')"
+                f" || substr({s}, 10) || '{edit}')")
+
+    def least(*ways: str) -> str:
+        return f"least({', '.join(ways)})"
+
+    def stays(*ways: str) -> str:
+        return f"CASE WHEN NOT gone THEN {least(*ways, 'NULL')} END"
+
+    def kept(initial: str, *states: str) -> str:
+        return f"CASE WHEN initial = '{initial}' THEN " + least(
+            *[add(s, "more", "K") for s in states], "NULL") + " END"
+
+    into_u = [add(s, "2 + more", "R") for s in ("s0", "s1", "s3")]
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS k, turn, coalesce(role, ' ') AS role,
+         coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(name, ''),
+      lambda c: ascii(c)::BIGINT),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, z: xor(v >> 1, (v & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 20 AS hit
+  FROM d),
+m AS (
+  SELECT conv_id, k, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                  ELSE text END AS text,
+         unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST,
+           md5(length(role)::VARCHAR || ':' || role || ':' || text), copy) AS i FROM m),
+f AS (
+  SELECT *, left(role, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+              WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3
+              ELSE 0 END AS fault,
+         lead(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS next FROM o),
+g AS (SELECT k, i, initial, fault IN (1, 2) AS gone, CASE fault WHEN 3 THEN 1 ELSE 0 END AS more
+      FROM f),
+r AS (
+  SELECT DISTINCT k, 0::BIGINT AS i, '000000000' AS s0, NULL::VARCHAR AS s1,
+         '000000002I' AS s2, '000000004II' AS s3 FROM d
+  UNION ALL
+  SELECT k, i, n0, n1, m2, least(n3, {add('m2', '2', 'I')}) FROM (
+    SELECT *, {least('n2', *[add(s, '2', 'I') for s in ('n0', 'n1', 'n3')])} AS m2 FROM (
+      SELECT g.k, g.i, {add('s0', '3', 'D')} AS n0,
+        {least(add('s1', '3', 'D'), stays(kept('s', 's0')))} AS n1,
+        {least(add('s2', '3', 'D'), stays(kept('u', 's0', 's1', 's3'), *into_u))} AS n2,
+        {least(add('s3', '3', 'D'), stays(kept('a', 's2'), add('s2', '2 + more', 'R')))} AS n3
+      FROM r JOIN g ON g.k = r.k AND g.i = r.i + 1))),
+best AS (
+  SELECT k, substr(b, 1, 9)::BIGINT AS cost, substr(b, 10) AS audit
+  FROM (SELECT k, arg_max(least(s0, s3), i) AS b FROM r GROUP BY k)),
+c AS (SELECT k, audit, unnest(range(1, length(audit) + 1)) AS p FROM best),
+e AS (
+  SELECT k, p, substr(audit, p, 1) AS edit,
+         sum(CASE WHEN substr(audit, p, 1) <> 'I' THEN 1 ELSE 0 END)
+           OVER (PARTITION BY k ORDER BY p) AS i FROM c),
+w AS (
+  SELECT e.k, p, edit, role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text,
+         row_number() OVER (PARTITION BY e.k ORDER BY p) AS n,
+         first(edit = 'K' AND initial = 's') OVER (PARTITION BY e.k ORDER BY p) AS led
+  FROM e LEFT JOIN f ON f.k = e.k AND f.i = e.i WHERE edit <> 'D'),
+t AS (
+  SELECT k, sha256(string_agg(CASE WHEN edit = 'K' THEN role
+                  WHEN (n - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user'
+                  ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS sha
+  FROM w GROUP BY k),
+s AS (
+  SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (next IS NOT NULL AND initial || next NOT IN ('su', 'ua', 'au'))
+           AS illegal
+  FROM f GROUP BY k)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, cost, audit,
+       coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM d) a JOIN best USING (k) LEFT JOIN s USING (k)
+LEFT JOIN t USING (k)
+"""
+
+
+OP11 = _repair()
+
 ORACLE_SQL = {"op2_line_rules": OP2, "op5_topk": OP5, "op4_mixing": OP4, "op8_warc": OP8,
-              "op12_ns_bounds": OP12}
+              "op11_dialogue": OP11, "op12_ns_bounds": OP12}
