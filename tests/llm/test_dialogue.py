@@ -225,7 +225,7 @@ def test_awkward_rows(spark):
 
 
 def test_a_hot_conversation_lies_in_several_tasks(spark):
-    rows = [(1, None, None, None)] * 2000 + [(i, 1, "user", "One.") for i in range(2, 2000)]
+    rows = [(1, None, None, None)] * 3000 + [(i, 1, "user", "One.") for i in range(2, 300)]
     coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(coalesce, "false")
     try:
