@@ -7,14 +7,16 @@ are cut into ``folds`` by a hash of their text, so equal texts share a fold),
 as a model's own training rows would make them look better than they are.
 
 The chain's default order is insult, contempt, toxic.  Toxic is the given
-label; a toxic training row is an insult or contempt if it has one of that
-category's seed words, which only label rows: the models learn from all words.
-Features are a text's distinct lower-case words and their beginnings of 4 to 9
-letters, so inflected forms count too.  A model reads the features that speak
-for its category (support and log-odds on its own training rows).
+label.  A toxic training row is an insult or contempt if it has one of that
+category's seed words, or enough of the features that go with the rows that
+have (``expanded``); the models learn from all words.  Features are a text's
+lower-case words and their beginnings of 4 to 9 letters, so inflected forms
+count too, each as found at least once, twice and three times.  A model reads
+the features that speak for its category (support and log-odds on its own
+training rows); their number is bounded by the sample alone.
 
-Training reads a bounded sample, at most about ``sample_rows`` labelled
-documents a class, by a hash of the id; everything else covers all rows.
+Training reads a bounded sample, at most ``sample_rows`` distinct labelled
+texts a class, by a hash of the text; everything else covers all rows.
 
 Defined cases: null and empty texts have no features and get the models'
 base rate; label rows with a null id or null label are not used, and of
@@ -26,6 +28,7 @@ equal scores.  Only the named columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,6 +42,7 @@ from .weakquality import fit_linear
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 22
+TIMES = 3
 
 # fixed values: seed words of the categories that the labels do not name
 SEEDS = {
@@ -48,13 +52,25 @@ SEEDS = {
 CHAIN = ("insult", "contempt", "toxic")
 
 
-def word_features(word: str) -> list[int]:
+def word_buckets(word: str) -> list[int]:
+    """The hashed word and its beginnings."""
     parts = [word, *(f"{word[:n]}~" for n in range(4, 10) if len(word) >= n)]
     return [xxhash.xxh32_intdigest(p) % BUCKETS for p in parts]
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(LETTERS.findall((text or "").lower()))
+def words_of(text: str | None) -> Counter:
+    return Counter(LETTERS.findall((text or "").lower()))
+
+
+def features_of(words: Counter) -> np.ndarray:
+    """A feature for each bucket and each number of times (up to TIMES) that
+    it is found at least."""
+    found: dict[int, int] = {}
+    for w, n in words.items():
+        for b in word_buckets(w):
+            found[b] = found.get(b, 0) + n
+    return np.array(sorted(b * TIMES + m for b, n in found.items() for m in range(min(n, TIMES))),
+                    np.int32)
 
 
 class Link(NamedTuple):
@@ -65,8 +81,8 @@ class Link(NamedTuple):
     intercept: float
 
 
-def _informative(rows: list[np.ndarray], labels: np.ndarray, support: int, log_odds: float,
-                 most: int) -> np.ndarray:
+def _informative(rows: list[np.ndarray], labels: np.ndarray, support: int,
+                 log_odds: float) -> np.ndarray:
     """Features of enough positive rows that are far more common there."""
     def counted(chosen):
         got = [rows[i] for i in np.flatnonzero(chosen)]
@@ -82,9 +98,22 @@ def _informative(rows: list[np.ndarray], labels: np.ndarray, support: int, log_o
         if len(other) else np.zeros(len(feature))
     n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     odds = np.log((there + 0.5) / n1) - np.log((elsewhere + 0.5) / n0)
-    keep = odds >= log_odds
-    order = np.argsort(-(odds * np.sqrt(there))[keep], kind="stable")[:most]
-    return np.sort(feature[keep][order])
+    return feature[odds >= log_odds]
+
+
+def expanded(rows: list[np.ndarray], hits: np.ndarray, toxic: np.ndarray,
+             log_odds: float = 2.5) -> np.ndarray:
+    """A category's labels, taken from rows with a seed word to the toxic rows
+    like them: those with at least half as many features that go with the
+    category (against rows that are not toxic) as its rows have at the median."""
+    if not hits.any() or toxic.all():
+        return hits
+    near = (hits == 1) | (toxic == 0)
+    chosen = _informative([rows[i] for i in np.flatnonzero(near)], hits[near],
+                          max(3, int(hits.sum()) // 250), log_odds)
+    found = np.array([np.isin(r, chosen, assume_unique=True).sum() for r in rows])
+    enough = max(1.0, float(np.median(found[hits == 1])) / 2)
+    return np.where((toxic == 1) & (found >= enough), 1, hits)
 
 
 def _logit(p):
@@ -95,14 +124,15 @@ def _clip(p):
     return np.clip(p, 1e-3, 1 - 1e-3)
 
 
-def fit_link(rows: list[np.ndarray], labels: np.ndarray, earlier: np.ndarray, support: int = 8,
-             log_odds: float = 2.5, most: int = 4000) -> Link:
+def fit_link(rows: list[np.ndarray], labels: np.ndarray, earlier: np.ndarray,
+             support: int | None = None, log_odds: float = 2.5) -> Link:
     """Fit one model; ``earlier`` has a column of probabilities per category
-    before it."""
+    before it.  ``support`` is the least number of positive rows a feature is
+    found in: by default 3, or one in 250."""
     rate = float(_clip(labels.mean())) if len(labels) else 1e-3
     if len(labels) == 0 or labels.min() == labels.max():
         return Link({}, np.zeros(earlier.shape[1]), float(_logit(rate)))
-    chosen = _informative(rows, labels, support, log_odds, most)
+    chosen = _informative(rows, labels, support or max(3, int(labels.sum()) // 250), log_odds)
     n = earlier.shape[1]
     logits = _logit(_clip(earlier)) / 4
     sparse = []
@@ -143,64 +173,67 @@ def fit_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], fold: np.nd
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                   label_col: str, sample_rows: int, folds: int, seed: int):
-    """Features, labels by category and folds of the sampled labelled rows."""
+    """Features, labels by category and folds of the sampled labelled texts."""
     known = (labels.select(F.col(id_col).cast("long").alias("i"),
                            F.col(label_col).cast("int").alias("y"))
              .where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg(F.max("y").alias("y")))
-    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}   # two classes
-    rate = F.lit(0.0)
-    for y, n in sizes.items():
-        rate = F.when(F.col("y") == y, F.lit(min(1.0, sample_rows / n))).otherwise(rate)
-    draw = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # about sample_rows rows a class: small enough to broadcast at any size
-    chosen = F.broadcast(known.where(draw < rate))
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"),
+                        F.xxhash64(text_col).alias("h"))
+    found = texts.select("i", "h").join(known, "i").select(
+        F.when(F.col("y") > 0, 1).otherwise(0).alias("y"), "h").distinct()
+    spark = docs.sparkSession
+    # at most sample_rows hashes a class: small enough to broadcast at any size
+    drawn = [(y, r["h"]) for y in (0, 1) for r in found.where(F.col("y") == y).orderBy(
+        F.xxhash64("h", F.lit(seed)), "h").limit(sample_rows).collect()]
+    chosen = F.broadcast(spark.createDataFrame(drawn, "y int, h long"))
     names = [n for n in CHAIN if n in SEEDS]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             feats, hits, fold = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(1):
+                t = t.as_py() or ""
                 words = words_of(t)
-                feats.append(np.unique(np.array([f for w in words for f in word_features(w)],
-                                                np.int32)).tobytes())
-                hits.append([int(not words.isdisjoint(SEEDS[n])) for n in names])
-                fold.append(xxhash.xxh32_intdigest(t or "") % folds)
+                feats.append(features_of(words).tobytes())
+                hits.append([int(not words.keys().isdisjoint(SEEDS[n])) for n in names])
+                fold.append(xxhash.xxh32_intdigest(t) % folds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(feats, pa.binary()),
                  pa.array(hits, pa.list_(pa.int32())), pa.array(fold, pa.int32())],
                 names=["y", "features", "hits", "fold"])
 
-    got = (docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-           .join(chosen, "i").select("y", "t")
+    # copies of a text are one training row
+    got = (texts.join(chosen, "h").groupBy("y", "h").agg(F.first("t").alias("t")).select("y", "t")
            .mapInArrow(extract, "y int, features binary, hits array<int>, fold int").collect())
-    got.sort(key=lambda r: (r["features"], r["y"]))   # the order of rows does not matter then
+    # the order of rows does not matter then: what is equal in all is alike
+    got.sort(key=lambda r: (r["features"], r["y"], r["fold"], r["hits"]))
     rows = [np.frombuffer(r["features"], np.int32) for r in got]
-    y = np.array([r["y"] for r in got], dtype=np.int64).clip(0, 1)
-    by_name = {n: np.array([r["hits"][k] for r in got], dtype=np.int64) * y
+    y = np.array([r["y"] for r in got], dtype=np.int64)
+    by_name = {n: expanded(rows, np.array([r["hits"][k] for r in got], dtype=np.int64) * y, y)
                for k, n in enumerate(names)}
     return rows, {**by_name, "toxic": y}, np.array([r["fold"] for r in got], dtype=np.int64)
 
 
 class ChainScorer:
-    """Applies a fitted chain; the features a model reads are looked up once
-    per word and worker."""
+    """Applies a fitted chain; the buckets that a model reads are looked up
+    once per word and worker."""
 
     def __init__(self, models: list[Link], cache_entries: int = 400_000):
         self.models, self.cache, self.cache_entries = models, {}, cache_entries
-        self.used = set().union(*(m.weights for m in models))
+        self.used = {f // TIMES for m in models for f in m.weights}
 
     def score(self, text: str | None) -> list[float]:
-        found: set[int] = set()
-        for w in words_of(text):
+        found: dict[int, int] = {}
+        for w, n in words_of(text).items():
             got = self.cache.get(w)
             if got is None:
-                got = tuple(f for f in word_features(w) if f in self.used)
+                got = tuple(b for b in word_buckets(w) if b in self.used)
                 if len(self.cache) < self.cache_entries:
                     self.cache[w] = got
-            if got:
-                found.update(got)
+            for b in got:
+                found[b] = found.get(b, 0) + n
         out: list[float] = []
-        ordered = sorted(found)
+        ordered = sorted(b * TIMES + m for b, n in found.items() for m in range(min(n, TIMES)))
         for m in self.models:
             out.append(link_probability(m, ordered, out))
         return out
@@ -208,9 +241,10 @@ class ChainScorer:
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", sample_rows: int = 2000, folds: int = 5, seed: int = 5,
-          threshold: float = 0.5) -> DataFrame:
+          threshold: float = 0.2) -> DataFrame:
     """Per row: doc_id, a probability ``p_<category>`` for each category of the
-    chain, and toxic (the last one is over the threshold)."""
+    chain, and toxic (the last one is over the threshold, which is low: toxic
+    rows are few, and one missed costs more than one too many)."""
     rows, by_name, fold = training_rows(docs, labels, id_col, text_col, label_col,
                                         sample_rows, folds, seed)
     # a few thousand weights a model
