@@ -56,6 +56,17 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` under names that any function over whole rows can resolve;
+    ``toDF(*df.columns)`` gives the names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def parts_for(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 

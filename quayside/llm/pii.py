@@ -36,6 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
+from .tokens import slices
+
 KINDS = ("email", "ip", "card", "phone")
 
 # fixed values: the base patterns; e-mail and IP are walked in parts that
@@ -463,8 +466,13 @@ def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = No
     at = docs.columns.index(text_col)
     counted = docs.columns.index(n_chars_col) if n_chars_col else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for a, b in slices(batch.column(at)):
+                yield batch.slice(a, b - a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             texts, sizes = [], []
             for i, t in enumerate(batch.column(at).to_pylist()):
                 found = base_spans(t) if t else []
@@ -480,4 +488,5 @@ def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = No
                 columns[counted] = pa.array(sizes, batch.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = numbered(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, quoted, written
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -220,5 +220,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.withColumn(h, F.xxhash64(F.col(text_col)))
     kept = rows.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(i))
                      & (F.col(h) == F.col(t)), "left_semi")
-    once = Window.partitionBy(F.col(id_col).cast("long"), h).orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*docs.columns)
+    # maps have no hash of their own
+    values = [F.to_json(quoted(f.name)) if "map<" in f.dataType.simpleString() else quoted(f.name)
+              for f in docs.schema]
+    once = Window.partitionBy(F.col(id_col).cast("long"), h).orderBy(F.xxhash64(*values))
+    return kept.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(
+        *map(quoted, docs.columns))

@@ -8,122 +8,163 @@ dimension from the other end.
 
 Queries meet every block, some ``query_rows`` at a time.  For one query and
 block, segments of all dimensions are processed by descending weighted impact
-and add their quantised impact to accumulators.  A row's score is at most its
-accumulator, plus the quantisation error, plus the best that the unread
-segments can add.  Rows whose bound is below the k-th best accumulator are
-proven not to be members; reading stops when few enough others remain, or at
-the end, and those are rescored exactly.
+and add their postings' impacts to accumulators.  A row's score is at least
+its accumulator, and at most that plus, for each dimension it has not been
+read in, the best impact left unread there.  Rows whose bound is below the
+k-th best accumulator are proven not to be members; reading stops when few
+enough others remain, or at the end, and those are rescored exactly.
+
+Where components are so large that sums could leave 64 bits, a query and block
+are scored in Python's integers, row by row.
 
 Defined cases: vectors that are null or hold null or non-finite components,
-and rows with a null id, take no part; components beyond 2^27 after scaling
-are held at 2^27, so that scores fit a long; shorter vectors count as
-continued by zeros; an empty vector scores 0; a query's own id is no
-candidate of it; repeated rows of other ids are candidates each, repeated
-query rows are one query; ties go to the smaller id; fewer candidates than k
-are all returned; an empty table gives no rows.  Only the id and vector
+and rows with a null id, take no part; a score among the best that does not
+fit a long is an error; shorter vectors count as continued by zeros; an empty
+vector scores 0; a query's own id is no candidate of it; repeated rows of
+other ids are candidates each, repeated query rows are one query (rows of one
+id with different vectors share its list); ties go to the smaller id; fewer
+candidates than k are all returned; an empty table gives no rows.  Only the id and vector
 columns are read.
 """
 
 from __future__ import annotations
 
-import io
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts_for, written
 
-LARGEST = float(1 << 27)
+LONG = (1 << 63) - 1
 
 
-def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """vec_id and the integer vector q, of the rows that take part."""
+def taking_part(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """vec_id and the vector x, of the rows that take part."""
     x = F.col(vector_col)
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)
                      & (F.abs(v.cast("double")) < F.lit(float("inf"))))
-    q = F.transform(x, lambda v: F.floor(F.greatest(F.lit(-LARGEST), F.least(
-        F.lit(LARGEST), v.cast("double") * scale))).cast("int"))
     return df.where(F.col(id_col).isNotNull() & x.isNotNull() & F.coalesce(whole, F.lit(False))
-                    ).select(F.col(id_col).cast("long").alias("vec_id"), q.alias("q"))
+                    ).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
+
+
+def whole_numbers(vectors, scale: int) -> np.ndarray:
+    """floor(scale * x) of rows of doubles as a matrix, shorter rows continued
+    by zeros: of 64 bits if the numbers are small enough, else of Python's."""
+    out = np.zeros((len(vectors), max((len(v) for v in vectors), default=0)))
+    for row, v in zip(out, vectors):
+        row[:len(v)] = v
+    q = np.floor(scale * out)
+    if q.size == 0 or float(np.abs(q).max()) < 2 ** 52:
+        return q.astype(np.int64)
+    if not np.isfinite(q).all():
+        raise ValueError("a component is too large to be scaled")
+    return np.array([int(v) for v in q.ravel().tolist()], dtype=object).reshape(q.shape)
 
 
 class BlockIndex:
-    """Impact-ordered postings of one block of integer vectors."""
+    """Impact-ordered postings of one block of integer vectors: for every
+    dimension the rows in order of value, and the values."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, step: int):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, step: int, order=None):
         self.ids, self.rows, self.step = ids, rows, step
+        if rows.dtype == object:
+            return
+        self.order = np.argsort(rows, axis=0, kind="stable").T if order is None else order
         self.low, self.high = rows.min(axis=0), rows.max(axis=0)
-        # ends[d][0]: segments for positive weights (impact value - low);
-        # ends[d][1]: for negative ones (impact high - value)
-        self.ends = [[self._segments(rows[:, d] - self.low[d]),
-                      self._segments(self.high[d] - rows[:, d])] for d in range(rows.shape[1])]
-
-    def _segments(self, impact: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(quantised impact, postings) by descending impact."""
-        level = impact // self.step
-        order = np.argsort(-level, kind="stable")
-        cuts = np.flatnonzero(np.diff(level[order])) + 1
-        return [(int(level[part[0]]) * self.step, part)
-                for part in np.split(order, cuts)] if len(order) else []
+        self.sides: dict[tuple, tuple] = {}
+        self.read = self.postings = 0     # of all searches
+
+    def _side(self, d: int, negative: bool) -> tuple:
+        """Postings of a dimension by descending impact, their impacts, and
+        begin, end and quantised impact of the segments."""
+        got = self.sides.get((d, negative))
+        if got is None:
+            part = self.order[d] if negative else self.order[d][::-1]
+            impact = (self.high[d] - self.rows[part, d] if negative
+                      else self.rows[part, d] - self.low[d])
+            level = impact // self.step
+            cuts = np.flatnonzero(np.diff(level)) + 1
+            begin, end = np.append(0, cuts), np.append(cuts, len(part))
+            got = self.sides[d, negative] = (part, impact, begin, end, level[begin])
+        return got
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, without those of id ``own``."""
-        weights = np.zeros(self.rows.shape[1], np.int64)
-        used = query[:len(weights)]
-        weights[:len(used)] = used
-        dims = np.flatnonzero(weights)
-        # acc holds score minus base, from below; every read posting loses < step * weight
-        acc = np.zeros(len(self.ids), np.int64)
-        error = int(np.abs(weights).sum()) * (self.step - 1)
-        plan, unread = [], np.zeros(len(weights), np.int64)
-        for d in dims.tolist():
-            weight = abs(int(weights[d]))
-            side = self.ends[d][int(weights[d] < 0)]
-            for n, (impact, part) in enumerate(side):
-                after = side[n + 1][0] if n + 1 < len(side) else -self.step + 1
-                plan.append((weight * impact, d, part, weight * (after + self.step - 1)))
-            unread[d] = weight * (side[0][0] + self.step - 1)
-        plan.sort(key=lambda s: -s[0])
+        width = self.rows.shape[1]
+        weights = np.zeros(width, query.dtype)
+        weights[:len(query[:width])] = query[:width]
         mine = self.ids == own
-        candidates = len(mine) - int(mine.sum())
-        enough = max(4 * k, len(acc) // 32)
+        far = float(max((abs(int(w)) for w in weights), default=0))
+        if (self.rows.dtype == object or query.dtype == object or not width or 2 * width * far
+                * float(max(np.abs(self.low).max(), np.abs(self.high).max())) >= 2 ** 62):
+            rows = np.flatnonzero(~mine)
+            score = (self.rows[rows].astype(object) * weights.astype(object)).sum(axis=1)
+        else:
+            rows = np.flatnonzero(self._possible(weights, mine, k))
+            score = self.rows[rows] @ weights
+        if width == 0:
+            score = np.zeros(len(rows), np.int64)
+        best = sorted(range(len(rows)), key=lambda i: (-score[i], self.ids[rows[i]]))[:k] \
+            if score.dtype == object else np.lexsort((self.ids[rows], -score))[:k]
+        score = score[best]
+        if any(abs(int(v)) > LONG for v in score):
+            raise ValueError("a score does not fit a long")
+        return self.ids[rows][best], score.astype(np.int64)
+
+    def _possible(self, weights: np.ndarray, mine: np.ndarray, k: int) -> np.ndarray:
+        """Mask of the rows not proven to be outside the k best."""
+        n = len(mine)
+        dims = np.flatnonzero(weights).tolist()
         possible = ~mine
-        for n, (gain, d, part, rest) in enumerate(plan, 1):
-            acc[part] += gain
-            unread[d] = rest
-            if candidates > k and (n % 256 == 0 or n == len(plan)):
-                # rest of a dimension that a row has been read in is counted
-                # too, which only loosens the bound
-                bound = acc + error + int(unread.sum())
+        if not dims or n - int(mine.sum()) <= k:
+            return possible
+        sides = [self._side(d, bool(weights[d] < 0)) for d in dims]
+        size = np.abs(weights[dims])
+        gain = np.concatenate([w * s[4] for w, s in zip(size, sides)])
+        which = np.repeat(np.arange(len(dims)), [len(s[4]) for s in sides])
+        at = np.concatenate([np.arange(len(s[4])) for s in sides])
+        plan = np.argsort(-gain, kind="stable")
+        acc = np.zeros(n, np.int64)     # score less that of the lowest values
+        seen = np.zeros((n, len(dims)), np.float32)
+        rest = np.array([w * int(s[1][0]) for w, s in zip(size, sides)], dtype=np.int64)
+        enough, total, read = max(4 * k, n // 32), n * len(dims), 0
+        checks = [total * c // 16 for c in range(6, 16)]
+        for i, j in zip(which[plan].tolist(), at[plan].tolist()):
+            part, impact, begin, end, _ = sides[i]
+            a, b = begin[j], end[j]
+            acc[part[a:b]] += size[i] * impact[a:b]
+            seen[part[a:b], i] = 1
+            rest[i] = size[i] * impact[b] if b < n else 0
+            read += b - a
+            if checks and read >= checks[0]:
+                while checks and read >= checks[0]:
+                    checks.pop(0)
                 least = np.partition(np.where(mine, -1, acc), -k)[-k]
-                possible = (bound >= least) & ~mine
+                live = np.flatnonzero(possible)
+                # rounded up: a bound may be too high, never too low
+                unread = (1 - seen[live]) @ rest.astype(np.float32)
+                bound = acc[live] + (unread.astype(np.float64) * (1 + 1e-4) + 1)
+                possible[live] = bound >= least
                 if possible.sum() <= enough:
                     break
-        rows = np.flatnonzero(possible)
-        score = self.rows[rows] @ weights
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows][best], score[best]
+        self.read += read
+        self.postings += total
+        return possible
 
     def to_bytes(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, ids=self.ids, rows=self.rows, step=self.step)
-        return out.getvalue()
+        """The index as it is searched: postings in order."""
+        if self.rows.dtype == object:
+            return pickle.dumps((self.ids, self.rows, self.step, None))
+        return pickle.dumps((self.ids, self.rows, self.step, self.order.astype(
+            np.uint16 if len(self.ids) <= 1 << 16 else np.int64)))
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> "BlockIndex":
-        saved = np.load(io.BytesIO(raw))
-        return cls(saved["ids"], saved["rows"], int(saved["step"]))
-
-
-def _matrix(vectors) -> np.ndarray:
-    """Rows of equal length, shorter ones continued by zeros."""
-    out = np.zeros((len(vectors), max((len(v) for v in vectors), default=0)), np.int64)
-    for row, v in zip(out, vectors):
-        row[:len(v)] = v
-    return out
+        return cls(*pickle.loads(raw))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
@@ -131,20 +172,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
            block_rows: int = 8192, query_rows: int = 256) -> DataFrame:
     """The k best rows of ``vectors`` for each row of ``queries`` (both with
     the id and vector columns): query_id, rank, vec_id, score."""
-    base = written(quantised(vectors, id_col, vector_col, scale), "vectors")
-    asked = written(quantised(queries, id_col, vector_col, scale).distinct(), "queries")
+    base = written(taking_part(vectors, id_col, vector_col), "vectors")
+    asked = written(taking_part(queries, id_col, vector_col).distinct(), "queries")
     blocks = parts_for(base.count(), block_rows)
     query_blocks = parts_for(asked.count(), query_rows)
 
     def build(key, rows):
         import pandas as pd
-        index = BlockIndex(rows["vec_id"].to_numpy(), _matrix(rows["q"].to_list()), step)
+        index = BlockIndex(rows["vec_id"].to_numpy(), whole_numbers(rows["x"].to_list(), scale), step)
         return pd.DataFrame({"block": [int(key[0])], "index": [index.to_bytes()]})
 
     dealt = base.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
     index = dealt.groupBy("block").applyInPandas(build, "block long, index binary")
     batches = (asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)))
-               .groupBy("part").agg(F.collect_list(F.struct("vec_id", "q")).alias("batch"))
+               .groupBy("part").agg(F.collect_list(F.struct("vec_id", "x")).alias("batch"))
                .select("batch", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")))
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +196,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                     at, found = block.as_py(), BlockIndex.from_bytes(raw.as_py())
                 out = [[], [], []]
                 for q in batch.as_py():
-                    ids, scores = found.search(np.array(q["q"], np.int64), q["vec_id"], k)
+                    ids, scores = found.search(whole_numbers([q["x"]], scale)[0], q["vec_id"], k)
                     out[0].append(np.full(len(ids), q["vec_id"], np.int64))
                     out[1].append(ids)
                     out[2].append(scores)

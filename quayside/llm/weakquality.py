@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
 from .tokens import slices
 
 BUCKETS, SHAPES = 1 << 16, 4096
@@ -349,4 +350,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             yield batch.filter(pa.array(scorer.score(batch.column(at)) <= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = numbered(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -2,6 +2,7 @@ import sys, os
 sys.path.insert(0, os.path.dirname(__file__))
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import helpers
 from conftest import SF_SMALL
@@ -43,9 +44,24 @@ def test_every_stage_survives_awkward_and_empty_tables(spark, tmp_path):
             docs = spark.read.parquet(str(tmp_path / f"{k}{name}"))
 
 
+def test_columns_of_any_name_and_type_survive(spark, tmp_path):
+    """Names with dots and back quotes, and a map column, beside repeated rows."""
+    rows = [r[:5] for r in helpers.awkward()] + [helpers.row(1, helpers.PROSE)[:5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, "
+                                 "n_chars long").withColumns(
+        {"a.b": F.lit("x"), "c`d": F.lit(1), "m": F.create_map(F.lit("k"), F.lit("v"))})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert {r["a.b"] for r in docs.collect()} == {"x"}
+    corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).collect()
+
+
 def test_registered():
     names = E.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert set(QUERIES) <= set(names)

@@ -50,9 +50,15 @@ def test_awkward_rows(spark):
     assert answer(topk.search(df, df, k=4)) == brute(rows, rows, 4)
 
 
-def test_huge_components_are_held(spark):
-    df = table(spark, [(0, [3e38, 1.0]), (1, [3e38, -1.0])])
-    assert [r["score"] for r in topk.search(df, df).collect()] == [2 ** 54 - 2 ** 20] * 2
+def test_huge_components_are_exact_or_refused(spark):
+    rows = [(0, [1e6, 1.0]), (1, [9e5, -1.0]), (2, [2e5, 3.0]), (3, [-1e6, 0.5]), (4, [1.0, 2.0])]
+    df = table(spark, rows)
+    assert answer(topk.search(df, df)) == brute(rows, rows, 10)
+    far = table(spark, [(0, [3e38, 1.0]), (1, [3e38, -1.0])])
+    with pytest.raises(Exception, match="fit a long"):
+        topk.search(far, far).collect()
+    one = [(0, [0.0, 2.0]), (1, [3e38, -1.0]), (2, [1e38, 1.0])]   # scores that do fit
+    assert answer(topk.search(table(spark, one), table(spark, one[:1]))) == brute(one, one[:1], 10)
 
 
 def test_few_candidates_and_empty_tables(spark):
@@ -67,18 +73,21 @@ def test_few_candidates_and_empty_tables(spark):
 def test_reading_stops_early_on_proof():
     rnd = np.random.default_rng(0)
     rows = np.minimum(1000, (rnd.pareto(1.0, (4000, 8)) * 20)).astype(np.int64)
-    index = topk.BlockIndex(np.arange(4000), rows, 16)
-    read = []
-    for side in index.ends:
-        side[0][:] = [(i, _Counted(p, read)) for i, p in side[0]]
-    query = np.array([900, 500, 0, 0, 0, 0, 0, 0])
+    index = topk.BlockIndex.from_bytes(topk.BlockIndex(np.arange(4000), rows, 16).to_bytes())
+    query = np.array([900, 500, 0, 0, 0, 3, 0, 0])
     ids, scores = index.search(query, -1, 5)
-    exact = rows @ query
-    assert scores.tolist() == sorted(exact.tolist(), reverse=True)[:5]
-
-
-class _Counted(np.ndarray):
-    def __new__(cls, a, read):
-        out = np.asarray(a).view(cls)
-        read.append(len(out))
-        return out
+    assert scores.tolist() == sorted((rows @ query).tolist(), reverse=True)[:5]
+    assert index.read < 0.6 * index.postings
+
+
+def test_most_rows_of_unrelated_vectors_are_ruled_out():
+    """Without structure little is left unread, but few rows are rescored."""
+    rnd = np.random.default_rng(1)
+    rows = (rnd.normal(0, 128, (4000, 64))).astype(np.int64)
+    index = topk.BlockIndex(np.arange(4000), rows, 8)
+    for i in range(20):
+        ids, scores = index.search(rows[i], i, 10)
+        exact = rows @ rows[i]
+        exact[i] = -1 << 60
+        assert scores.tolist() == sorted(exact.tolist(), reverse=True)[:10]
+    assert index.read < index.postings
