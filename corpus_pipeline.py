@@ -9,6 +9,13 @@ returns a DataFrame.  All stages but the last return the columns of
 3. pii: personal data is replaced in the text.
 4. mix: sources are brought to their target weights.
 5. pack: the documents' tokens are packed into windows.
+
+Defined cases, for every stage: null and empty texts have no words (quality
+judges them by their features, they share fingerprint zero, hold no personal
+data, and are not taken by the mix); null ids, languages and sources are values
+of their own; repeated rows are near copies of each other, so one stays; very
+long texts are read whole; an empty table gives an empty one; further columns
+of any name and type pass through all stages but the last.
 """
 
 from __future__ import annotations
