@@ -7,12 +7,14 @@ vector to either form with a narrow projection.
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .saved import SavedModel, core_class
+
 
 def vector_size(df: DataFrame, col: str) -> int:
     """Length of a vector column, from its metadata or else from all rows.
@@ -59,13 +61,23 @@ class ColumnEstimator(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         return ColumnModel(core, fcol, d, self.getPredictionCol())
 
 
-class ColumnModel(Model):
+class ColumnModel(SavedModel):
     """Applies a column-level model's prediction expression to a vector."""
 
     def __init__(self, core, featuresCol: str, d: int, predictionCol: str):
         super().__init__()
         self.core, self.fcol, self.d, self.pcol = core, featuresCol, d, predictionCol
 
+    def state(self, spark):
+        header, tables = self.core.state(spark)
+        return {"features": self.fcol, "size": self.d, "prediction": self.pcol,
+                "core": self.core.saved_as, "state": header}, tables
+
+    @classmethod
+    def restored(cls, header, tables):
+        core = core_class(header["core"]).restored(header["state"], tables)
+        return cls(core, header["features"], header["size"], header["prediction"])
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         keep = dataset.columns
         wide, cols = spread(dataset, self.fcol, self.d)

@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import ColumnEstimator, as_array
-from .trees import LevelSplits, level_range, node_of
+from .saved import core
+from .trees import SPLITS, LevelSplits, level_range, levels_from, node_of, split_rows
 
 UNIT = float(1 << 32)
 
@@ -97,6 +98,7 @@ def histogram_gains(hist: DataFrame, lam: float, gamma: float) -> DataFrame:
     return h.withColumn("HR", HR).withColumn("gain", gain)
 
 
+@core("boosted_trees")
 @dataclass
 class BoostedTreesModel:
     edges: list
@@ -122,6 +124,29 @@ class BoostedTreesModel:
         binned, bcols = bin_columns(df, cols, self.edges)
         return binned.withColumn(name, margin(F.array(*bcols))).drop(*bcols)
 
+    def state(self, spark):
+        edges = [(f, i, v) for f, found in enumerate(self.edges) for i, v in enumerate(found)]
+        leaves = [(t, node, w) for t, (_, leaf) in enumerate(self.trees)
+                  for node, w in enumerate(leaf)]
+        splits = split_rows([(t, levels) for t, (levels, _) in enumerate(self.trees)])
+        return ({"base": self.base_margin, "trees": len(self.trees), "features": len(self.edges)},
+                {"edges": spark.createDataFrame(edges, "feature int, place int, edge double"),
+                 "splits": spark.createDataFrame(splits, SPLITS),
+                 "leaves": spark.createDataFrame(leaves, "tree int, node long, weight double")})
+
+    @classmethod
+    def restored(cls, header, tables):
+        edges: list[list[float]] = [[] for _ in range(header["features"])]
+        for r in tables("edges").orderBy("feature", "place").collect():
+            edges[r["feature"]].append(r["edge"])
+        splits: list[list[dict]] = [[] for _ in range(header["trees"])]
+        for r in tables("splits").collect():      # the size of the model
+            splits[r["tree"]].append({**r.asDict(), "tree": 0})
+        leaf: list[list[float]] = [[] for _ in range(header["trees"])]
+        for r in tables("leaves").orderBy("tree", "node").collect():
+            leaf[r["tree"]].append(r["weight"])
+        return cls(edges, [(levels_from(s, 1), w) for s, w in zip(splits, leaf)], header["base"])
+
     def transform_columns(self, df, cols, prediction):
         out = self.with_margin(df, cols, "__margin")
         return out.withColumn(prediction, F.when(F.col("__margin") > 0, 1.0).otherwise(0.0)) \

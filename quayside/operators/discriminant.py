@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import argmax_label
 from .base import ColumnEstimator
 from .moments import cross_moments
+from .saved import core
 
 
+@core("discriminant")
 @dataclass
 class DiscriminantModel:
     features: list[str]
@@ -52,6 +54,15 @@ class DiscriminantModel:
     def transform_columns(self, df, cols, prediction):
         return df.withColumn(prediction, self.predict_column(cols))
 
+    def state(self, spark):
+        return {"features": self.features, "labels": self.labels, "coef": self.coef.tolist(),
+                "intercept": self.intercept.tolist()}, {}
+
+    @classmethod
+    def restored(cls, header, tables):
+        return cls(header["features"], header["labels"], np.array(header["coef"]),
+                   np.array(header["intercept"]))
+
 
 def discriminant_fit(df: DataFrame, cols: list[str], label: str = "label",
                      ridge: float = 1e-9) -> DiscriminantModel:

@@ -6,11 +6,13 @@ distinct count per categorical column; applying is one narrow projection.
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .saved import SavedModel
+
 #: A categorical column with more levels than this is refused, not cut: its
 #: dummies would be a feature vector of that length in every row.
 MAX_LEVELS = 10_000
@@ -46,7 +48,7 @@ class FeatureFront(Estimator):
         return FeatureModel(self.numeric, moments, levels, self.output)
 
 
-class FeatureModel(Model):
+class FeatureModel(SavedModel):
     def __init__(self, numeric, moments, levels, output):
         super().__init__()
         self.numeric, self.moments, self.levels, self.output = numeric, moments, levels, output
@@ -55,6 +57,20 @@ class FeatureModel(Model):
     def names(self) -> list[str]:
         return self.numeric + [f"{c}={v}" for c, found in self.levels.items() for v in found[1:]]
 
+    def state(self, spark):
+        rows = [(c, i, v) for c, found in self.levels.items() for i, v in enumerate(found)]
+        return ({"numeric": self.numeric, "moments": self.moments, "output": self.output,
+                 "categorical": list(self.levels)},
+                {"levels": spark.createDataFrame(rows, "col string, place int, level string")})
+
+    @classmethod
+    def restored(cls, header, tables):
+        levels = {c: [] for c in header["categorical"]}
+        for r in tables("levels").orderBy("col", "place").collect():    # MAX_LEVELS a column
+            levels[r["col"]].append(r["level"])
+        return cls(header["numeric"], [tuple(m) for m in header["moments"]], levels,
+                   header["output"])
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         parts = [F.array(*[(F.col(c).cast("double") - m) / s if s else F.col(c).cast("double") * 0.0
                            for c, (m, s) in zip(self.numeric, self.moments)])]

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax_label
 from .base import ColumnEstimator
+from .saved import core
 
 
+@core("gaussian_nb")
 @dataclass
 class GaussianNBModel:
     features: list[str]
@@ -48,6 +50,17 @@ class GaussianNBModel:
     def transform_columns(self, df, cols, prediction):
         return replace(self, features=list(cols)).transform(df, prediction)
 
+    def state(self, spark):
+        return {"features": self.features, "labels": self.labels,
+                **{n: [getattr(self, n)[k] for k in self.labels]
+                   for n in ("log_prior", "means", "variances")}}, {}
+
+    @classmethod
+    def restored(cls, header, tables):
+        labels = header["labels"]
+        return cls(header["features"], labels, *[dict(zip(labels, header[n]))
+                                                 for n in ("log_prior", "means", "variances")])
+
 
 def gaussian_nb(train: DataFrame, features: list[str], label: str = "label",
                 var_smoothing: float = 1e-9) -> GaussianNBModel:

@@ -74,6 +74,27 @@ class LevelSplits:
         return out
 
 
+SPLITS = "tree int, depth int, node long, feature int, cut double"
+
+
+def split_rows(trees: list[tuple[int, list[LevelSplits]]]) -> list[tuple]:
+    """The splits of (number of the first tree, levels) as rows of SPLITS."""
+    return [(first + t, lv.depth, 2 ** lv.depth - 1 + i,
+             lv.feature[t * 2 ** lv.depth + i], lv.threshold[t * 2 ** lv.depth + i])
+            for first, levels in trees for lv in levels for t in range(lv.trees)
+            for i in range(2 ** lv.depth) if lv.feature[t * 2 ** lv.depth + i] >= 0]
+
+
+def levels_from(rows, trees: int) -> list[LevelSplits]:
+    """Levels of ``trees`` trees from rows of SPLITS (trees numbered from 0)."""
+    levels: list[LevelSplits] = []
+    for r in sorted(rows, key=lambda r: r["depth"]):
+        while len(levels) <= r["depth"]:
+            levels.append(LevelSplits.empty(len(levels), trees))
+        levels[r["depth"]].set(r["tree"], r["node"], r["feature"], r["cut"])
+    return levels
+
+
 def node_of(levels: list[LevelSplits], tree: int, x: np.ndarray) -> np.ndarray:
     """Where the levels grown so far put each row of ``x``."""
     node = np.zeros(len(x), dtype=np.int64)

@@ -263,7 +263,7 @@ def q_knn_exact(spark, sf_dir):
     from ..sources.tables import read_table
     e = read_table(spark, sf_dir, "embeddings")
     nb = knn_neighbors(e, e, "embedding", KNN_K, label="label", train_id="vec_id",
-                       query_id="vec_id", exclude_self=True)
+                       query_id="vec_id", exclude_self=True, method="codes")
     pred = knn_vote(nb, ["vec_id"])
     lists = nb.groupBy("vec_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank0", "tid"))),
