@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .base import ColumnEstimator, as_array
 from .saved import core
-from .trees import SPLITS, LevelSplits, level_range, levels_from, node_of, split_rows
+from .trees import (SPLITS, LevelSplits, held, level_range, levels_from, node_of, packed,
+                    split_rows, unpacked)
 
 UNIT = float(1 << 32)
 
@@ -181,10 +182,11 @@ def _histogram(data: DataFrame, levels: list, depth: int, trees: list) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            b = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
-            margin = batch.column(2).to_numpy() + model.margins(b)
+            y, margin = (unpacked(batch.column(i), "<f8") for i in (1, 2))
+            b = unpacked(batch.column(0), "<i2").reshape(len(y), -1).astype(np.int64)
+            margin = margin + model.margins(b)
             p = 1 / (1 + np.exp(-margin))
-            g = np.rint((p - batch.column(1).to_numpy()) * UNIT)
+            g = np.rint((p - y) * UNIT)
             h = np.rint(p * (1 - p) * UNIT)
             node = node_of(grown, 0, b)
             here = (node >= lo) & (node <= hi)
@@ -222,8 +224,11 @@ def boosted_trees_fit(df: DataFrame, cols: list[str], label: str = "label",
     binned, bcols = bin_columns(df.select(*cols, F.col(label).cast("double").alias("y")),
                                 cols, edges)
     first = binned.select(F.array(*[F.col(c).cast("bigint") for c in bcols]).alias("b"),
-                          "y").persist()
-    data, held = first.withColumn("margin", F.lit(0.0)), None
+                          "y", F.lit(0.0).alias("margin"))
+    if max(map(len, edges), default=0) >= 1 << 15:
+        raise ValueError("bins are numbered in two bytes")
+    first = held(packed(first, {"b": "<i2", "y": "<f8", "margin": "<f8"}))
+    data, newer = first, None
     trees, since = [], []
     for rnd in range(rounds):
         levels, leaf_gh = [], {}
@@ -256,11 +261,11 @@ def boosted_trees_fit(df: DataFrame, cols: list[str], label: str = "label",
         if len(since) == refresh and rnd + 1 < rounds:
             nxt = _with_margin(data, since).persist()
             nxt.count()
-            if held is not None:
-                held.unpersist()
-            data, held, since = nxt, nxt, []
-    if held is not None:
-        held.unpersist()
+            if newer is not None:
+                newer.unpersist()
+            data, newer, since = nxt, nxt, []
+    if newer is not None:
+        newer.unpersist()
     first.unpersist()
     return BoostedTreesModel(edges, trees, 0.0)
 
@@ -271,10 +276,15 @@ def _with_margin(data: DataFrame, trees: list) -> DataFrame:
 
     def add(batches):
         for batch in batches:
-            b = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
-            margin = batch.column(2).to_numpy() + shipped.value.margins(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(margin)],
-                                             names=["b", "y", "margin"])
+            margin = []
+            for block in range(batch.num_rows):
+                part = batch.slice(block, 1)
+                old = unpacked(part.column(2), "<f8")
+                b = unpacked(part.column(0), "<i2").reshape(len(old), -1).astype(np.int64)
+                margin.append((old + shipped.value.margins(b)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(margin, pa.binary())],
+                names=["b", "y", "margin"])
 
     return data.select("b", "y", "margin").mapInArrow(add, data.schema)
 

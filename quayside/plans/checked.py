@@ -8,6 +8,7 @@ weights and scoring at small depth; the full-size runs are in ``models``.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..operators import classifiers as C
@@ -18,7 +19,9 @@ from ..operators.metrics import compare, confusion
 from ..operators.naive_bayes import SqlNaiveBayes
 from ..operators.regression import linear_regression, regression_metrics
 from ..operators.split import split
-from ..operators.tasks import detect_fraud, predict_late, predict_quantity, predict_revenue
+from ..operators.tasks import (detect_fraud, fit_predict, labelled, predict_late,
+                               predict_quantity, predict_revenue)
+from ..session import scratch_folder
 from ..sources.tables import order_lines
 from .queries import (BOOST_EDGES, BOOST_FEATURES, BOOST_LAMBDA, ET_FEATURES, ET_K, ET_SEED,
                       ET_TREES, NB_FEATURES, confusion_sql, register, with_ol)
@@ -73,6 +76,23 @@ def q_compare_closed_form(spark, sf_dir):
                     for task, run in GOALS.items() for name, make in made.items()})
 
 
+@register("compare_reloaded", _closed_form_sql())
+def q_compare_reloaded(spark, sf_dir):
+    """The same comparison by models that were saved and loaded again: the
+    held-out lines are scored by what the folder holds."""
+    lines = order_lines(spark, sf_dir)
+    made = {"naive_bayes": SqlNaiveBayes, "discriminant": lambda: discriminant(ridge=0.0)}
+    preds = {}
+    for task in GOALS:
+        rows = labelled(lines, task)
+        for name, make in made.items():
+            _, model = fit_predict(rows, make(), NB_FEATURES, [], scale=False, task=task)
+            path = scratch_folder(spark, f"model-{task}-{name}")
+            model.save(path)
+            preds[task, name] = PipelineModel.load(path).transform(split(rows)[1])
+    return compare(preds)
+
+
 # ------------------------------------------------------------- T3, T4: OLS
 def _plane(goal: str, run, features: list[str]):
     a, b = features
