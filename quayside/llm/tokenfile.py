@@ -107,7 +107,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, id_col: str =
         part, number = TaskContext.get().partitionId(), 0
         enc, file = encoder(tokenizer), FileBuilder(width, level)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), size=8_000_000):
                 keys, texts = (c.slice(a, b - a).to_pylist() for c in batch.columns)
                 for key, ids in zip(keys, enc.encode(texts)):
                     file.add(key, ids + end)
