@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.param.shared import (HasFeaturesCol, HasLabelCol, HasPredictionCol,
+                                     HasWeightCol)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,25 @@ def as_array(cols: list[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
-class ColumnEstimator(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
-    """An estimator whose core fit works on numeric columns."""
+def class_weights(df: DataFrame, label: str, weight: str) -> dict[float, float]:
+    """The weight of each class, for models that count rows by class.  Weights
+    that differ within a class are refused: such counts cannot carry them."""
+    from .moments import MAX_CLASSES
+    rows = (df.groupBy(F.col(label).cast("double").alias("y"))
+            .agg(F.min(weight).alias("lo"), F.max(weight).alias("hi"),
+                 F.count(F.when(F.col(weight).isNull(), 1)).alias("nulls"))
+            .limit(MAX_CLASSES + 1).collect())
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    if any(r["nulls"] or r["lo"] != r["hi"] or not r["lo"] > 0 for r in rows):
+        raise ValueError(f"{weight} must be one positive number for each class of {label}")
+    return {r["y"]: float(r["lo"]) for r in rows}
+
+
+class ColumnEstimator(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasWeightCol):
+    """An estimator whose core fit works on numeric columns.
+
+    ``setWeightCol`` names a column of row weights; unset, all rows count alike."""
 
     def __init__(self, featuresCol="features", labelCol="label",
                  predictionCol="prediction"):
@@ -50,13 +68,21 @@ class ColumnEstimator(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         self._set(featuresCol=featuresCol, labelCol=labelCol,
                   predictionCol=predictionCol)
 
+    def setWeightCol(self, name: str):
+        return self._set(weightCol=name)
+
+    @property
+    def weight(self) -> str | None:
+        return self.getWeightCol() if self.isSet("weightCol") else None
+
     def fit_columns(self, df: DataFrame, cols: list[str], label: str):
         raise NotImplementedError
 
     def _fit(self, dataset: DataFrame):
         fcol = self.getFeaturesCol()
         d = vector_size(dataset, fcol)
-        wide, cols = spread(dataset.select(fcol, self.getLabelCol()), fcol, d)
+        extra = [self.weight] if self.weight else []
+        wide, cols = spread(dataset.select(fcol, self.getLabelCol(), *extra), fcol, d)
         core = self.fit_columns(wide, cols, self.getLabelCol())
         return ColumnModel(core, fcol, d, self.getPredictionCol())
 

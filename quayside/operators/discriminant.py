@@ -65,9 +65,10 @@ class DiscriminantModel:
 
 
 def discriminant_fit(df: DataFrame, cols: list[str], label: str = "label",
-                     ridge: float = 1e-9) -> DiscriminantModel:
+                     ridge: float = 1e-9, weight: str | None = None) -> DiscriminantModel:
+    """Means, pooled covariance and priors; by the rows' weights if there are any."""
     d = len(cols)
-    mean, stats = cross_moments(df, cols, label)
+    mean, stats = cross_moments(df, cols, label, weight)
     labels = sorted(stats)
     n_total = sum(stats[k][0] for k in labels)
     K = len(labels)
@@ -100,7 +101,7 @@ class Discriminant(ColumnEstimator):
         self.ridge = ridge
 
     def fit_columns(self, df, cols, label):
-        return discriminant_fit(df, cols, label, self.ridge)
+        return discriminant_fit(df, cols, label, self.ridge, self.weight)
 
 
 def discriminant(**kw) -> Discriminant:

@@ -24,20 +24,36 @@ class FeatureFront(Estimator):
     The first level in order is the reference and has no dummy, so the
     dummies and an intercept are not collinear.  A level unseen in training,
     and null, get all-zero dummies like the reference.  Dummies are left
-    unscaled.  A numeric column without variance becomes 0."""
+    unscaled.  A numeric column without variance becomes 0.
+
+    A null or NaN in a numeric column counts as the training mean, and columns
+    with some in training get an indicator after the dummies.  With
+    ``missing='keep'`` it stays NaN instead, for boosted trees, which learn a
+    side for it."""
 
     def __init__(self, numeric: list[str], categorical: list[str] = (), scale: bool = True,
-                 output: str = "features"):
+                 output: str = "features", missing: str = "mean"):
         super().__init__()
+        if missing not in ("mean", "keep"):
+            raise ValueError(f"missing is 'mean' or 'keep', not {missing!r}")
+        self.missing = missing
         self.numeric, self.categorical = list(numeric), list(categorical)
         self.scale, self.output = scale, output
 
     def _fit(self, dataset: DataFrame) -> "FeatureModel":
-        moments = [(0.0, 1.0)] * len(self.numeric)
-        if self.scale and self.numeric:
-            r = dataset.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(self.numeric)
-                              for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-            moments = [(r[f"m{i}"] or 0.0, r[f"s{i}"] or 0.0) for i in range(len(self.numeric))]
+        moments, fills, flags = [], [], []
+        if self.numeric:
+            known = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+                     for c in self.numeric]
+            r = dataset.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(known) for n, f in (
+                ("m", F.avg), ("s", F.stddev_samp),
+                ("gone", lambda c: F.count(F.when(c.isNull(), 1))))]).first()
+            fills = [r[f"m{i}"] or 0.0 for i in range(len(self.numeric))]
+            moments = [(m, r[f"s{i}"] or 0.0) if self.scale else (0.0, 1.0)
+                       for i, m in enumerate(fills)]
+            flags = [c for i, c in enumerate(self.numeric) if r[f"gone{i}"]]
+        if self.missing == "keep":
+            fills, flags = [None] * len(self.numeric), []
         levels = {}
         for c in self.categorical:
             found = [r[0] for r in dataset.select(F.col(c).cast("string")).where(
@@ -45,22 +61,24 @@ class FeatureFront(Estimator):
             if len(found) > MAX_LEVELS:
                 raise ValueError(f"{c} has more than {MAX_LEVELS} levels; hash or group them")
             levels[c] = sorted(found)
-        return FeatureModel(self.numeric, moments, levels, self.output)
+        return FeatureModel(self.numeric, moments, levels, self.output, fills, flags)
 
 
 class FeatureModel(SavedModel):
-    def __init__(self, numeric, moments, levels, output):
+    def __init__(self, numeric, moments, levels, output, fills, flags):
         super().__init__()
         self.numeric, self.moments, self.levels, self.output = numeric, moments, levels, output
+        self.fills, self.flags = fills, flags
 
     @property
     def names(self) -> list[str]:
-        return self.numeric + [f"{c}={v}" for c, found in self.levels.items() for v in found[1:]]
+        return self.numeric + [f"{c}={v}" for c, found in self.levels.items() for v in found[1:]] \
+            + [f"{c} missing" for c in self.flags]
 
     def state(self, spark):
         rows = [(c, i, v) for c, found in self.levels.items() for i, v in enumerate(found)]
         return ({"numeric": self.numeric, "moments": self.moments, "output": self.output,
-                 "categorical": list(self.levels)},
+                 "categorical": list(self.levels), "fills": self.fills, "flags": self.flags},
                 {"levels": spark.createDataFrame(rows, "col string, place int, level string")})
 
     @classmethod
@@ -69,12 +87,18 @@ class FeatureModel(SavedModel):
         for r in tables("levels").orderBy("col", "place").collect():    # MAX_LEVELS a column
             levels[r["col"]].append(r["level"])
         return cls(header["numeric"], [tuple(m) for m in header["moments"]], levels,
-                   header["output"])
+                   header["output"], header["fills"], header["flags"])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        parts = [F.array(*[(F.col(c).cast("double") - m) / s if s else F.col(c).cast("double") * 0.0
+        nan = F.lit(float("nan"))
+        value = {c: F.coalesce(F.col(c).cast("double"), nan) for c in self.numeric}
+        full = {c: value[c] if fill is None else F.nanvl(value[c], F.lit(fill))
+                for c, fill in zip(self.numeric, self.fills)}
+        parts = [F.array(*[(full[c] - m) / s if s else full[c] * 0.0
                            for c, (m, s) in zip(self.numeric, self.moments)])]
         parts += [_dummies(F.col(c), found) for c, found in self.levels.items() if len(found) > 1]
+        if self.flags:
+            parts.append(F.array(*[F.isnan(value[c]).cast("double") for c in self.flags]))
         vector = array_to_vector(F.concat(*parts))
         meta = {"ml_attr": {"num_attrs": len(self.names)}}
         return dataset.withColumn(self.output, vector.alias(self.output, metadata=meta))
@@ -86,6 +110,6 @@ def _dummies(value, levels):
 
 
 def feature_stages(numeric: list[str], categorical: list[str] = (),
-                   scale: bool = True, output: str = "features") -> list:
+                   scale: bool = True, output: str = "features", missing: str = "mean") -> list:
     """Stages turning numeric and categorical columns into one vector."""
-    return [FeatureFront(numeric, categorical, scale, output)]
+    return [FeatureFront(numeric, categorical, scale, output, missing)]

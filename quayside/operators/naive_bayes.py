@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax_label
-from .base import ColumnEstimator
+from .base import ColumnEstimator, class_weights
 from .saved import core
 
 
@@ -63,8 +63,10 @@ class GaussianNBModel:
 
 
 def gaussian_nb(train: DataFrame, features: list[str], label: str = "label",
-                var_smoothing: float = 1e-9) -> GaussianNBModel:
-    """Fit class priors, means and variances with one aggregate.
+                var_smoothing: float = 1e-9, weight: str | None = None) -> GaussianNBModel:
+    """Fit class priors, means and variances with one aggregate.  ``weight``
+    must be constant within a class: it then changes the priors, and the
+    overall variance, only.
 
     ``var_smoothing`` adds that fraction of the largest overall feature
     variance to every variance (guards against a zero variance).
@@ -73,7 +75,11 @@ def gaussian_nb(train: DataFrame, features: list[str], label: str = "label",
     for c in features:
         aggs += [F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}")]
     rows = train.groupBy(F.col(label).cast("double").alias("y")).agg(*aggs).collect()
-    rows.sort(key=lambda r: r["y"])
+    rows = [r.asDict() for r in sorted(rows, key=lambda r: r["y"])]
+    if weight is not None:
+        by = class_weights(train, label, weight)
+        for r in rows:
+            r["n"] *= by[r["y"]]
     n = sum(r["n"] for r in rows)
     # overall variance of each feature from the class moments
     overall = []
@@ -94,4 +100,4 @@ class SqlNaiveBayes(ColumnEstimator):
     """The SQL form as a Pipeline stage."""
 
     def fit_columns(self, df, cols, label):
-        return gaussian_nb(df, cols, label)
+        return gaussian_nb(df, cols, label, weight=self.weight)

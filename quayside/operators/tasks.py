@@ -45,7 +45,7 @@ def balanced(train: DataFrame, name: str = "weight") -> DataFrame:
 
 
 def weighted(estimator, name: str = "weight"):
-    """The estimator reading row weights, if it can."""
+    """The estimator reading row weights, if it can (all nine do)."""
     return estimator.setWeightCol(name) if estimator.hasParam("weightCol") else estimator
 
 

@@ -2,4 +2,4 @@ from .queries import QUERIES, ORACLE_SQL, flagship
 
 __all__ = ["QUERIES", "ORACLE_SQL", "flagship"]
 
-from . import checked, models  # noqa: E402,F401  (register their queries)
+from . import checked, models, weighted  # noqa: E402,F401  (register their queries)

@@ -30,10 +30,14 @@ from .queries import (BOOST_EDGES, BOOST_FEATURES, BOOST_LAMBDA, ET_FEATURES, ET
 GOALS = {"fraud": detect_fraud, "late": predict_late}
 
 
-def _closed_form_sql() -> str:
+def closed_form_parts(goals, extra: str = "", weighted: bool = False) -> tuple[list, list]:
+    """CTEs that fit both models for each goal, and selects (task, model, y, p
+    and ``extra`` columns) that score the held-out lines.  ``weighted`` gives
+    both classes the same total weight."""
     a, b = NB_FEATURES
     ctes, parts = [], []
-    for y in GOALS:
+    for y in goals:
+        size = ("(SELECT count(*) FROM tr) / 2.0::DOUBLE" if weighted else "count(*)")
         stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in NB_FEATURES)
         over = ", ".join(f"sum(n * (v_{c} + (m_{c} - (SELECT avg({c}) FROM tr)) ^ 2)) / sum(n) AS o_{c}"
                          for c in NB_FEATURES)
@@ -41,7 +45,7 @@ def _closed_form_sql() -> str:
             f"(-0.5 * ln(2 * pi() * (m{k}.v_{c} + m{k}.eps)) - (te.{c} - m{k}.m_{c}) ^ 2 "
             f"/ (2 * (m{k}.v_{c} + m{k}.eps)))" for c in NB_FEATURES)
         ctes.append(f"""
-{y}_st AS (SELECT {y} AS y, count(*) AS n, {stats}, covar_pop({a}, {b}) AS vab FROM tr GROUP BY {y}),
+{y}_st AS (SELECT {y} AS y, {size} AS n, {stats}, covar_pop({a}, {b}) AS vab FROM tr GROUP BY {y}),
 {y}_ov AS (SELECT {over} FROM {y}_st),
 {y}_nb AS (SELECT {y}_st.*, ln(n / (SELECT sum(n) FROM {y}_st)) AS lp,
                   1e-9 * greatest(o_{a}, o_{b}) AS eps FROM {y}_st, {y}_ov),
@@ -53,14 +57,19 @@ def _closed_form_sql() -> str:
                   -0.5 * (m_{a} * (iaa * m_{a} + iab * m_{b}) + m_{b} * (iab * m_{a} + ibb * m_{b}))
                   + ln(n / nt) AS w0 FROM {y}_st, {y}_inv)""")
         parts.append(f"""
-SELECT '{y}' AS task, 'naive_bayes' AS model, te.{y} AS y,
+SELECT '{y}' AS task, 'naive_bayes' AS model, {extra}te.{y} AS y,
        CASE WHEN m1.lp + {dens(1)} > m0.lp + {dens(0)} THEN 1 ELSE 0 END AS p
 FROM te, (SELECT * FROM {y}_nb WHERE y = 0) m0, (SELECT * FROM {y}_nb WHERE y = 1) m1
 UNION ALL
-SELECT '{y}', 'discriminant', te.{y},
+SELECT '{y}', 'discriminant', {extra}te.{y},
        CASE WHEN m1.w0 + m1.wa * te.{a} + m1.wb * te.{b} > m0.w0 + m0.wa * te.{a} + m0.wb * te.{b}
             THEN 1 ELSE 0 END
 FROM te, (SELECT * FROM {y}_ld WHERE y = 0) m0, (SELECT * FROM {y}_ld WHERE y = 1) m1""")
+    return ctes, parts
+
+
+def _closed_form_sql() -> str:
+    ctes, parts = closed_form_parts(GOALS)
     return with_ol(", " + ",".join(ctes) + f", sc AS ({' UNION ALL '.join(parts)})\n"
                    + confusion_sql("sc", "task, model"))
 
@@ -72,7 +81,7 @@ def q_compare_closed_form(spark, sf_dir):
     lines = order_lines(spark, sf_dir)
     made = {"naive_bayes": SqlNaiveBayes, "discriminant": lambda: discriminant(ridge=0.0)}
     return compare({(task, name): run(lines, make(), numeric=NB_FEATURES, categorical=[],
-                                      scale=False)
+                                      scale=False, balance=False)
                     for task, run in GOALS.items() for name, make in made.items()})
 
 

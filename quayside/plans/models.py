@@ -23,8 +23,6 @@ from ..operators.tasks import (compare_classifiers, detect_fraud, predict_late,
 from ..sources.tables import order_lines
 from .queries import register
 
-REGRESSION_CATEGORICAL = ["o_orderpriority", "c_mktsegment"]
-
 
 def classifier_zoo() -> dict:
     """The nine classifiers with the parameters used in the registered runs."""
@@ -73,16 +71,13 @@ def q_fraud_compare(spark, sf_dir):
                                balance=True)
 
 
-def _regression_query(task: str, estimator, numeric):
+def _regression_query(task: str, estimator):
     def q(spark, sf_dir):
         run = {"revenue": predict_revenue, "quantity": predict_quantity}[task]
-        pred = run(order_lines(spark, sf_dir), estimator(), numeric=numeric,
-                   categorical=REGRESSION_CATEGORICAL)
+        pred = run(order_lines(spark, sf_dir), estimator())
         return regression_metrics(pred).select(F.lit(task).alias("task"), "*")
     return q
 
 
-register("revenue_regression")(_regression_query(
-    "revenue", linear_regression, ["order_day", "l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]))
-register("quantity_regression")(_regression_query(
-    "quantity", poisson_regression, ["order_day", "l_discount", "l_tax", "p_size", "p_retailprice", "c_acctbal"]))
+register("revenue_regression")(_regression_query("revenue", linear_regression))
+register("quantity_regression")(_regression_query("quantity", poisson_regression))
