@@ -129,7 +129,7 @@ class BlockIndex:
         at = np.concatenate([np.arange(len(s[4])) for s in sides])
         plan = np.argsort(-gain, kind="stable")
         acc = np.zeros(n, np.int64)     # score less that of the lowest values
-        seen = np.zeros((n, len(dims)), np.float32)
+        seen = np.zeros((len(dims), n), np.float32)
         rest = np.array([w * int(s[1][0]) for w, s in zip(size, sides)], dtype=np.int64)
         enough, total, read = max(4 * k, n // 32), n * len(dims), 0
         checks = [total * c // 16 for c in range(6, 16)]
@@ -137,18 +137,18 @@ class BlockIndex:
             part, impact, begin, end, _ = sides[i]
             a, b = begin[j], end[j]
             acc[part[a:b]] += size[i] * impact[a:b]
-            seen[part[a:b], i] = 1
+            seen[i, part[a:b]] = 1
             rest[i] = size[i] * impact[b] if b < n else 0
             read += b - a
             if checks and read >= checks[0]:
                 while checks and read >= checks[0]:
                     checks.pop(0)
                 least = np.partition(np.where(mine, -1, acc), -k)[-k]
-                live = np.flatnonzero(possible)
-                # rounded up: a bound may be too high, never too low
-                unread = (1 - seen[live]) @ rest.astype(np.float32)
-                bound = acc[live] + (unread.astype(np.float64) * (1 + 1e-4) + 1)
-                possible[live] = bound >= least
+                # rounded up by what single precision may lose: a bound may be
+                # too high, never too low
+                whole = float(rest.sum())
+                unread = whole * (1 + (len(dims) + 8) * 1.2e-7) + 1 - rest.astype(np.float32) @ seen
+                possible &= acc + unread >= least
                 if possible.sum() <= enough:
                     break
         self.read += read
