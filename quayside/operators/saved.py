@@ -67,7 +67,8 @@ class _Reader(MLReader):
 #: The modules of the cores that a ``ColumnModel`` can hold, by the name they
 #: are saved under; a session that only loads has not imported them.
 CORES = {"discriminant": "discriminant", "gaussian_nb": "naive_bayes",
-         "extra_trees": "extra_trees", "boosted_trees": "boosting"}
+         "extra_trees": "extra_trees", "boosted_trees": "boosting",
+         "bagged_forest": "bagged_forest"}
 _FOUND: dict[str, type] = {}
 
 
