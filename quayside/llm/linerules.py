@@ -14,8 +14,14 @@ agree in the high bits are the repeats.  Those are compared word by word, and
 should two different windows ever agree, the row's windows are sorted as
 words instead, so the count is exact.
 
+Navigation is a line of bars, bullets or lone slashes between its words, a line
+of six or more capitalised words without a mark of a sentence, or one of a run of five or more
+consecutive short lines (up to four words and 40 characters) that end in no
+punctuation: a menu with one item a line.  Shorter runs, such as a heading over
+a paragraph, pass.
+
 Defined cases: a null text has no words and no lines, and fails; lines
-without a word are neither judged nor lost; repeated rows are judged each; an
+without a word are neither judged nor lost, and do not end a run; repeated rows are judged each; an
 empty table gives no rows.  Only the id and text columns
 are read.
 """
@@ -38,6 +44,13 @@ BOILERPLATE = (
     "skip to main content", "powered by wordpress", "licensed under the",
 )
 
+# an end mark, perhaps inside closing quotes or brackets, ends the line
+ENDS = r"""[.?!:;,…。؟"'”’)\]][\x20\x09-\x0D]*\z"""
+MARK = r"[.?!:;,…。؟]"
+RUN, ITEM_WORDS, ITEM_CHARS, CAPITALS = 5, 4, 40, 6
+# a member of a run of RUN ones, whichever place it has in it
+IN_RUN = "|".join(f"(?<=1{{{a}}})1(?=1{{{RUN - 1 - a}}})" for a in range(RUN))
+
 
 def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
@@ -143,13 +156,38 @@ def good_line(line: Column, marked: Column, phrased: Column) -> Column:
     need not be searched."""
     words = lambda: F.regexp_count(line, F.lit(WORD))
     marks = F.regexp_count(line, F.lit(f"[{SYMBOLS}!]"))
-    bars = F.regexp_count(line, F.lit("[|»›•·]"))
+    bars = F.regexp_count(line, F.lit("[|»›•·]")) + F.when(
+        line.contains("/"), _lone_slashes(line)).otherwise(0)
     few_marks = ~marked | (marks * 10 <= F.length(without(line, SPACES)))
     sentence = line.rlike(r"[.?:;,…。؟]") | (words() < 40)
     navigation = ~marked | (bars < 2) | (bars * 10 < words())
+    titled = line.rlike(MARK) | ~_capitalised(line)
     low = F.lower(line)
     boilerplate = let(low, _has_phrase)
-    return few_marks & navigation & sentence & ~(phrased & boilerplate)
+    return few_marks & navigation & sentence & titled & ~(phrased & boilerplate)
+
+
+def _capitalised(line: Column) -> Column:
+    """Whether a line has CAPITALS words or more, each beginning with a capital."""
+    starts = F.regexp_count(line, F.lit(r"(?:^|[\x20\x09-\x0D])\p{Lu}"))
+    return (starts >= CAPITALS) & (starts == F.regexp_count(line, F.lit(WORD)))
+
+
+def _lone_slashes(line: Column) -> Column:
+    words = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+    return F.size(F.filter(words, lambda w: w == "/"))
+
+
+def item(line: Column) -> Column:
+    """Whether a line could be an item of a menu with one item a line."""
+    return (~line.rlike(ENDS) & (F.length(without(line, SPACES)) <= ITEM_CHARS)
+            & (F.regexp_count(line, F.lit(WORD)) <= ITEM_WORDS))
+
+
+def in_menu(lines: Column) -> Column:
+    """For each line, '1' if it is in a run of RUN items or more, else '0'."""
+    items = F.array_join(F.transform(lines, lambda x: F.when(item(x), "1").otherwise("0")), "")
+    return F.split(F.translate(F.regexp_replace(items, IN_RUN, "n"), "1n", "01"), "")
 
 
 def _has_phrase(low: Column) -> Column:
@@ -165,12 +203,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     characters of removed lines) and clean_text (the lines that pass)."""
     df = measures(docs, id_col, text_col)
     # no phrase has a line break, so a line's phrase is one of the text's
-    flags = F.struct(F.col("text").rlike(f"[{SYMBOLS}!»›•·]").alias("marked"),
-                     let(F.lower("text"), _has_phrase).alias("phrased"))
+    # and short texts have no run of lines
+    flags = F.struct(F.col("text").rlike(f"[{SYMBOLS}!»›•·/]").alias("marked"),
+                     let(F.lower("text"), _has_phrase).alias("phrased"),
+                     F.when(F.size("lines") >= RUN, in_menu(F.col("lines"))).alias("menu"))
 
     def split(keep: bool) -> Column:
-        return let(flags, lambda f: F.filter("lines", lambda x: good_line(
-            x, f["marked"], f["phrased"]) == F.lit(keep)))
+        return let(flags, lambda f: F.filter("lines", lambda x, i: (
+            F.coalesce(F.get(f["menu"], i) == "0", F.lit(True))
+            & good_line(x, f["marked"], f["phrased"])) == F.lit(keep)))
 
     df = df.withColumn("clean_text", F.array_join(split(True), "\n"))
     df = df.withColumn("lost_chars", _length(without(F.array_join(split(False), ""), SPACES)))

@@ -16,19 +16,30 @@ rep AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid,
 cov AS (SELECT rid, sum(least(5, coalesce(nxt - pos, 5)))::BIGINT AS n_repeat_words
         FROM (SELECT rid, pos, lead(pos) OVER (PARTITION BY rid ORDER BY pos) AS nxt FROM rep)
         GROUP BY rid),
-lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
-worded AS (SELECT *, regexp_replace(line, '[\x20\x09-\x0D]', '', 'g') AS bare FROM lines
+lines AS (SELECT rid, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
+          FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM d)),
+worded AS (SELECT *, regexp_replace(line, '[\x20\x09-\x0D]', '', 'g') AS bare,
+             regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws,
+             len(regexp_extract_all(line, '(?:^|[\x20\x09-\x0D])\p{Lu}')) AS caps FROM lines
            WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+items AS (SELECT *, length(bare) <= 40 AND len(ws) <= 4 AND NOT regexp_matches(line,
+            '[.?!:;,\x{2026}\x{3002}\x{061f}"''\x{201d}\x{2019})\]][\x20\x09-\x0D]*\z') AS item
+          FROM worded),
+runs AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY pos)
+           - row_number() OVER (PARTITION BY rid, item ORDER BY pos) AS run FROM items),
 judged AS (
   SELECT rid, line, length(bare) AS chars,
+    NOT (item AND count(*) OVER (PARTITION BY rid, item, run) >= 5) AND
     10 * len(regexp_extract_all(line, '[#*$%&|<>!]')) <= length(bare)
     AND (len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) < 40
          OR regexp_matches(line, '[.?:;,\x{2026}\x{3002}\x{061f}]'))
-    AND (len(regexp_extract_all(line, '[|\x{bb}\x{203a}\x{2022}\x{b7}]')) < 2
-         OR 10 * len(regexp_extract_all(line, '[|\x{bb}\x{203a}\x{2022}\x{b7}]'))
-            < len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')))
+    AND (len(regexp_extract_all(line, '[|\x{bb}\x{203a}\x{2022}\x{b7}]'))
+         + len([x FOR x IN ws IF x = '/']) < 2
+         OR 10 * (len(regexp_extract_all(line, '[|\x{bb}\x{203a}\x{2022}\x{b7}]'))
+                  + len([x FOR x IN ws IF x = '/'])) < len(ws))
+    AND (regexp_matches(line, '[.?!:;,\x{2026}\x{3002}\x{061f}]') OR caps < 6 OR caps < len(ws))
     AND NOT regexp_matches(lower(line), '@BOILERPLATE@') AS good
-  FROM worded),
+  FROM runs),
 per AS (SELECT rid, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines,
                sum(CASE WHEN good THEN 0 ELSE chars END)::BIGINT AS lost
         FROM judged GROUP BY rid),
@@ -199,9 +210,11 @@ o AS (
            md5(length(role)::VARCHAR || ':' || role || ':' || text), copy) AS i FROM m),
 f AS (
   SELECT *, left(role, 1) AS initial,
-         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1
               WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2
-              WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3
+              WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3
               ELSE 0 END AS fault,
          lead(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS next FROM o),
 g AS (SELECT k, i, initial, fault IN (1, 2) AS gone, CASE fault WHEN 3 THEN 1 ELSE 0 END AS more

@@ -71,6 +71,56 @@ def test_lines_are_judged_first(spark):
     assert not got[4]["kept"]
 
 
+MENUS = ["\n".join(["Home", "About us", "Products", "Our team", "News", "Contact", "Login", "Help",
+                     "Site map", "Careers", "Press", "Search"]),
+         "\n\n \n".join(["Home", "Who we are", "Shop", "Jobs today", "News", "Contact us"]),
+         "Home / About us / Products / News / Contact / Login / Help / Site map",
+         "Home About Products News Contact Login Help Careers Press Search"]
+
+
+def test_menus_without_bars(spark):
+    docs = [helpers.row(i, m) for i, m in enumerate(MENUS)]
+    docs += [helpers.row(10 + i, helpers.PROSE + "\n" + m + "\n" + helpers.PROSE.replace("old", "new"))
+             for i, m in enumerate(MENUS)]
+    got = {r["doc_id"]: r for r in linerules.judge(helpers.docs(spark, docs)).collect()}
+    for i in range(len(MENUS)):
+        assert not got[i]["kept"] and got[i]["clean_text"] == ""
+        assert got[10 + i]["clean_text"] == helpers.PROSE + "\n" + helpers.PROSE.replace("old", "new")
+
+
+def test_headings_and_short_lists_pass(spark):
+    texts = ["The Harbour at Dawn\n" + helpers.PROSE + "\nThe Market\n" + helpers.PROSE,
+             helpers.PROSE + "\nFour Things\nrope\nsalt\nbread\n" + helpers.PROSE,
+             "He spoke,\nshe heard;\nit rained.\nWho came?\nNobody did.\n" + helpers.PROSE,
+             "ABCDEFGHIJKLMNOPQRSTUVWXYZ " * 3 + "is a code word that nobody\n" + helpers.PROSE,
+             "A B C D e F G H I J K L\n" + helpers.PROSE, "A" * 50_000 + " b\n" + helpers.PROSE * 400,
+             "On and/or off, at 3/4 of the way / or not, it went on as before and nobody minded."]
+    got = {r["doc_id"]: r for r in linerules.judge(
+        helpers.docs(spark, [helpers.row(i, t) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["clean_text"] == t and got[i]["lost_chars"] == 0
+
+
+def test_very_long_lines_of_capitals(spark):
+    docs = [helpers.row(1, "Word " * 100_000 + "\n" + helpers.PROSE),
+            helpers.row(2, "Word " * 100_000 + "word\n" + helpers.PROSE * 4000)]
+    got = {r["doc_id"]: r for r in linerules.judge(helpers.docs(spark, docs)).collect()}
+    assert got[1]["lost_chars"] == 400_000 and got[1]["clean_text"] == helpers.PROSE
+    # 40 words and more without a mark are no sentence either
+    assert got[2]["lost_chars"] == 400_004
+
+
+def test_runs_of_any_length(spark):
+    # one item fewer than a run, a run, and more, between and beside sentences
+    texts = ["\n".join(["One sentence ends."] * a + ["item"] * n + ["Another one ends."] * b)
+             for a in (0, 1) for b in (0, 2) for n in (4, 5, 6, 7, 11)]
+    got = {r["doc_id"]: r["lost_chars"] for r in linerules.judge(
+        helpers.docs(spark, [helpers.row(i, t) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        n = t.count("item")
+        assert got[i] == (4 * n if n >= 5 else 0)
+
+
 def test_filter_on_the_verdict_stays_cheap(spark):
     got = linerules.judge(helpers.docs(spark)).where("kept").select("doc_id").collect()
     assert {1, 2, 3} <= {r["doc_id"] for r in got}
