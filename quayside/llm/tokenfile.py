@@ -10,7 +10,14 @@ A reader finds the table from the end of the file and decompresses the
 requested documents' frames alone.
 
 Files come in ascending document id order: documents are range-partitioned
-by id and text hash, sorted, and each partition writes files of about ``file_bytes``.
+by id, text hash and place in the input, so that many rows equal in id and text
+go to several tasks; then they are sorted, and each partition writes files of
+about ``file_bytes``.  The place is that in the input's partitions: give a table
+that reads in the same order again (files or a checkpoint), not the outcome of a
+shuffle, or a retried task could deal such equal rows differently.
+
+Ids take 2 bytes if the tokenizer's largest id and the end id fit, else 4; an id
+that does not fit its file's width is refused.
 
 Defined cases: a null text is stored as the end id alone; null ids come
 first; repeated ids are ordered by their text's hash and kept each; an empty table gives
@@ -31,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .blobs import read_blobs, write_blobs
 from .packing import CARRIED
-from .tokens import encoder, slices
+from .tokens import encoder, largest_id, slices
 
 # fixed values of the format
 SKIPPABLE = 0x184D2A5E          # a zstandard skippable frame
@@ -49,7 +56,12 @@ class FileBuilder:
         self.frames, self.table, self.size = [], [], 0
 
     def add(self, key: int | None, ids: bytes) -> None:
-        raw = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        raw = ids
+        if self.width == 2:
+            wide = np.frombuffer(ids, "<u4")
+            if len(wide) and int(wide.max()) > 0xFFFF:
+                raise ValueError(f"id {int(wide.max())} needs more than 2 bytes")
+            raw = wide.astype("<u2").tobytes()
         frame = self.zip.compress(raw)
         self.table.append(ENTRY.pack(key or 0, key is None, len(ids) // 4, len(frame),
                                      zlib.crc32(raw)))
@@ -94,12 +106,15 @@ class FileReader:
         return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
+def id_width(*ids: int) -> int:
+    return 2 if max(ids) < 1 << 16 else 4
+
+
 def write_token_files(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id",
                       text_col: str = "text", tokenizer: str | None = None,
-                      vocabulary: int = 50_257, file_bytes: int = 4_000_000,
-                      level: int = 1) -> None:
+                      file_bytes: int = 4_000_000, level: int = 1) -> None:
     """Encode every document and write the files to a new folder."""
-    width = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
+    width = id_width(largest_id(tokenizer), end_id)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +134,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, id_col: str =
 
     # the text's hash lets a repeated (or null) id be dealt to several partitions
     ordered = (docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-               .withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h")
-               .sortWithinPartitions("k", "h", "t").drop("h"))
+               .withColumn("h", F.xxhash64("t"))
+               .withColumn("place", F.monotonically_increasing_id())
+               .repartitionByRange("k", "h", "place")
+               .sortWithinPartitions("k", "h", "t").drop("h", "place"))
     write_blobs(ordered.mapInArrow(build, "file binary"), "file", path, ENDING)
 
 
@@ -165,9 +182,15 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     files = read_blobs(spark, path).select("content")
     # one row per file, a few megabytes of ids each
     sums = files.mapInArrow(totals, "part int, number int, total long")
-    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("part", "number",
-                         F.coalesce(F.sum("total").over(order), F.lit(0)).alias("file_start"))
+    before = (Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("part").orderBy("number").rowsBetween(*before)
+    # only one row a partition goes through the window over all of them
+    parts = sums.groupBy("part").agg(F.sum("total").alias("total")).select(
+        "part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(*before)),
+                           F.lit(0)).alias("part_start"))
+    starts = sums.withColumn("inner", F.coalesce(F.sum("total").over(inner), F.lit(0))).join(
+        parts, "part").select("part", "number",
+                              (F.col("part_start") + F.col("inner")).alias("file_start"))
     docs = files.mapInArrow(documents, "part int, number int, position long, doc_id long, "
                                        f"before long, n_tokens long, carried {carried}")
     return (docs.join(starts, ["part", "number"])

@@ -155,6 +155,13 @@ def encoder(path: str | None = None) -> Encoder:
     return _ENCODERS[path]
 
 
+def largest_id(path: str | None = None) -> int:
+    """The largest id that a vocabulary file can give."""
+    from tokenizers import Tokenizer
+    return max(Tokenizer.from_file(path or default_tokenizer()).get_vocab(with_added_tokens=True)
+               .values())
+
+
 def slices(texts: pa.Array, rows: int = 8192, size: int = 4_000_000):
     """Index ranges of at most ``rows`` texts and about ``size`` bytes of an
     Arrow array (more only where one text has more), from its offsets alone:

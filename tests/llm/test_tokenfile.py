@@ -73,3 +73,43 @@ def test_damage_is_noticed():
     with pytest.raises((ValueError, zstandard.ZstdError)):
         r = tokenfile.FileReader(bytes(frame))
         [r.ids(i) for i in range(3)]
+
+
+def test_ids_take_the_width_they_need(spark, tmp_path):
+    for ids, end in (([65_535], 0), ([65_536], 0), ([70_000, 1], 3), ([5], 90_000)):
+        b = tokenfile.FileBuilder(tokenfile.id_width(*ids, end), 1)
+        b.add(1, np.array(ids + [end], "<u4").tobytes())
+        r = tokenfile.FileReader(b.finish(0, 0) + tokenfile.ENDING.encode())
+        assert np.frombuffer(r.ids(0), "<u4").tolist() == ids + [end]
+    with pytest.raises(ValueError, match="70000"):
+        tokenfile.FileBuilder(2, 1).add(1, np.array([70_000], "<u4").tobytes())
+
+
+def test_a_tokenizer_with_more_ids(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    words = {"[UNK]": 0, **{f"w{i}": i for i in range(1, 70_001)}}
+    made = Tokenizer(models.WordLevel(words, unk_token="[UNK]"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    made.save(str(tmp_path / "large.json"))
+    path = scratch(spark, "test")
+    tokenfile.write_token_files(helpers.docs(spark, [helpers.row(1, "w70000 w3 w65536")]), path,
+                                tokenizer=str(tmp_path / "large.json"))
+    got = tokenfile.read_token_files(spark, path).first()
+    assert np.frombuffer(got["ids"], "<u4").tolist() == [70_000, 3, 65_536, 0]
+
+
+def test_rows_equal_in_id_and_text_go_to_several_files(spark):
+    rows = [helpers.row(None, helpers.PROSE)] * 400 + [helpers.row(i, f"text {i}") for i in range(800)]
+    path = scratch(spark, "test")
+    # so few rows would be put together again
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokenfile.write_token_files(helpers.docs(spark, rows).repartition(8), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = tokenfile.read_blobs(spark, path).collect()
+    held = [sum(k is None for k, *_ in tokenfile.FileReader(bytes(f["content"])).entries) for f in files]
+    assert sum(held) == 400 and max(held) < 400
+    got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in
+           tokenfile.read_token_files(spark, path).orderBy("start").collect()]
+    assert got == [r[:3] for r in expected(rows)]
