@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blobs import read_blobs, write_blobs
+from .common import scratch
 from .packing import CARRIED
 from .tokens import encoder, largest_id, slices
 
@@ -181,7 +182,10 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
 
     files = read_blobs(spark, path).select("content")
     # one row per file, a few megabytes of ids each
-    sums = files.mapInArrow(totals, "part int, number int, total long")
+    # (written, as it is read twice and the files need not be)
+    path = scratch(spark, "token-sums")
+    files.mapInArrow(totals, "part int, number int, total long").write.parquet(path)
+    sums = spark.read.schema("part int, number int, total long").parquet(path)
     before = (Window.unboundedPreceding, -1)
     inner = Window.partitionBy("part").orderBy("number").rowsBetween(*before)
     # only one row a partition goes through the window over all of them
