@@ -12,7 +12,8 @@ from ..operators.metrics import bootstrap, compare, confusion, poisson_cuts
 from ..operators.naive_bayes import SqlNaiveBayes
 from ..operators.sketch import weighted_quantiles
 from ..operators.split import split
-from ..operators.tasks import balanced, detect_fraud, predict_late
+from ..operators.tasks import balanced, detect_fraud, held_lines, predict_late
+from ..session import checkpoint
 from ..sources.tables import order_lines
 from .checked import closed_form_parts
 from .queries import (BOOST_EDGES, BOOST_FEATURES, BOOST_LAMBDA, NB_FEATURES, confusion_sql,
@@ -203,9 +204,11 @@ FROM g GROUP BY model, against, metric""")
 def q_compare_intervals(spark, sf_dir):
     """Late delivery by naive Bayes and the discriminant: 95 % intervals of the
     metrics and of their differences, orders drawn 100 times."""
-    lines = order_lines(spark, sf_dir)
+    lines = held_lines(order_lines(spark, sf_dir), "late", NB_FEATURES, [])
     preds = {}
     for name, make in MODELS.items():
         pred = predict_late(lines, make(), numeric=NB_FEATURES, categorical=[], scale=False)
         preds["late", name] = pred
-    return bootstrap(preds, "order_key", replicates=REPLICATES, seed=BOOT_SEED)
+    out = checkpoint(bootstrap(preds, "order_key", replicates=REPLICATES, seed=BOOT_SEED))
+    lines.unpersist()
+    return out
