@@ -8,11 +8,13 @@ dimension from the other end.
 
 Queries meet every block, some ``query_rows`` at a time.  For one query and
 block, segments of all dimensions are processed by descending weighted impact
-and add their postings' impacts to accumulators.  A row's score is at least
-its accumulator, and at most that plus, for each dimension it has not been
-read in, the best impact left unread there.  Rows whose bound is below the
-k-th best accumulator are proven not to be members; reading stops when few
-enough others remain, or at the end, and those are rescored exactly.
+and add their postings' impacts to accumulators, a share of all postings at a
+time.  A row's score is at most its accumulator plus, for each dimension it has
+not been read in, the best impact left unread there.  The rows of the highest
+bounds are scored exactly, and rows whose bound is below the k-th best score
+known, of these or of the blocks a task met before, are proven not to be
+members; reading stops when few enough others remain, or at the end, and those
+are rescored exactly.
 
 Where components are so large that sums could leave 64 bits, a query and block
 are scored in Python's integers, row by row.
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import parts_for, written
 
 LONG = (1 << 63) - 1
+SHARES = 16     # bounds are looked at when so many equal shares of the postings are read
 
 
 def taking_part(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -73,27 +76,35 @@ class BlockIndex:
         self.ids, self.rows, self.step = ids, rows, step
         if rows.dtype == object:
             return
-        self.order = np.argsort(rows, axis=0, kind="stable").T if order is None else order
+        if order is None:
+            order = np.argsort(rows, axis=0, kind="stable").T.astype(
+                np.uint16 if len(ids) <= 1 << 16 else np.int64)
+        self.order = order
         self.low, self.high = rows.min(axis=0), rows.max(axis=0)
         self.sides: dict[tuple, tuple] = {}
         self.read = self.postings = 0     # of all searches
+        self.first = SHARES // 2          # share of the postings read before the first bound
 
     def _side(self, d: int, negative: bool) -> tuple:
-        """Postings of a dimension by descending impact, their impacts, and
-        begin, end and quantised impact of the segments."""
+        """Postings of a dimension by descending impact, their impacts and a
+        zero after the last, and end and quantised impact of the segments."""
         got = self.sides.get((d, negative))
         if got is None:
-            part = self.order[d] if negative else self.order[d][::-1]
+            part = np.ascontiguousarray(self.order[d] if negative else self.order[d][::-1])
             impact = (self.high[d] - self.rows[part, d] if negative
                       else self.rows[part, d] - self.low[d])
             level = impact // self.step
             cuts = np.flatnonzero(np.diff(level)) + 1
-            begin, end = np.append(0, cuts), np.append(cuts, len(part))
-            got = self.sides[d, negative] = (part, impact, begin, end, level[begin])
+            impact = np.append(impact, 0)
+            impact = impact.astype(np.int32 if impact[0] < 1 << 31 else np.float64)
+            got = self.sides[d, negative] = (part, impact, np.append(cuts, len(part)),
+                                             level[np.append(0, cuts)])
         return got
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, without those of id ``own``."""
+    def search(self, query: np.ndarray, own: int, k: int,
+               known: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows, without those of id ``own``, and
+        maybe without those that score below ``known``."""
         width = self.rows.shape[1]
         weights = np.zeros(width, query.dtype)
         weights[:len(query[:width])] = query[:width]
@@ -104,7 +115,7 @@ class BlockIndex:
             rows = np.flatnonzero(~mine)
             score = (self.rows[rows].astype(object) * weights.astype(object)).sum(axis=1)
         else:
-            rows = np.flatnonzero(self._possible(weights, mine, k))
+            rows = np.flatnonzero(self._possible(weights, mine, k, known))
             score = self.rows[rows] @ weights
         if width == 0:
             score = np.zeros(len(rows), np.int64)
@@ -115,52 +126,61 @@ class BlockIndex:
             raise ValueError("a score does not fit a long")
         return self.ids[rows][best], score.astype(np.int64)
 
-    def _possible(self, weights: np.ndarray, mine: np.ndarray, k: int) -> np.ndarray:
-        """Mask of the rows not proven to be outside the k best."""
+    def _possible(self, weights: np.ndarray, mine: np.ndarray, k: int,
+                  known: int | None) -> np.ndarray:
+        """Mask of the rows not proven to be outside the k best or below ``known``."""
         n = len(mine)
-        dims = np.flatnonzero(weights).tolist()
+        dims = np.flatnonzero(weights)
         possible = ~mine
-        if not dims or n - int(mine.sum()) <= k:
+        if not len(dims) or n - int(mine.sum()) <= k:
             return possible
-        sides = [self._side(d, bool(weights[d] < 0)) for d in dims]
+        sides = [self._side(d, bool(weights[d] < 0)) for d in dims.tolist()]
         size = np.abs(weights[dims])
-        gain = np.concatenate([w * s[4] for w, s in zip(size, sides)])
-        which = np.repeat(np.arange(len(dims)), [len(s[4]) for s in sides])
-        at = np.concatenate([np.arange(len(s[4])) for s in sides])
-        plan = np.argsort(-gain, kind="stable")
-        acc = np.zeros(n, np.int64)     # score less that of the lowest values
-        seen = np.zeros((len(dims), n), np.float32)
-        rest = np.array([w * int(s[1][0]) for w, s in zip(size, sides)], dtype=np.int64)
-        enough, total, read = max(4 * k, n // 32), n * len(dims), 0
-        checks = [total * c // 16 for c in range(6, 16)]
-        for i, j in zip(which[plan].tolist(), at[plan].tolist()):
-            part, impact, begin, end, _ = sides[i]
-            a, b = begin[j], end[j]
-            acc[part[a:b]] += size[i] * impact[a:b]
-            seen[i, part[a:b]] = 1
-            rest[i] = size[i] * impact[b] if b < n else 0
-            read += b - a
-            if checks and read >= checks[0]:
-                while checks and read >= checks[0]:
-                    checks.pop(0)
-                least = np.partition(np.where(mine, -1, acc), -k)[-k]
-                # rounded up by what single precision may lose: a bound may be
-                # too high, never too low
-                whole = float(rest.sum())
-                unread = whole * (1 + (len(dims) + 8) * 1.2e-7) + 1 - rest.astype(np.float32) @ seen
-                possible &= acc + unread >= least
-                if possible.sum() <= enough:
-                    break
-        self.read += read
+        worst = int((weights[dims] * np.where(weights[dims] < 0, self.high[dims],
+                                              self.low[dims])).sum())
+        ends = np.concatenate([s[2] for s in sides])
+        begin = np.cumsum([0] + [len(s[2]) for s in sides])    # of a dimension's segments
+        which = np.repeat(np.arange(len(dims)), np.diff(begin))
+        plan = np.argsort(-size[which] * np.concatenate([s[3] for s in sides]), kind="stable")
+        length = np.diff(ends, prepend=0)
+        length[begin[:-1]] = ends[begin[:-1]]
+        upto = np.cumsum(length[plan])
+        total = n * len(dims)
+        # what doubles may lose in a bound: it may be too high, never too low
+        slip = float((size * (self.high - self.low)[dims]).sum()) * (len(dims) + 8) * 4.5e-16
         self.postings += total
-        return possible
+        share = self.first
+        while True:
+            segments = np.searchsorted(upto, total * share // SHARES) + 1
+            done = np.bincount(which[plan[:segments]], minlength=len(dims))
+            stop = np.where(done > 0, ends[begin[:-1] + done - 1], 0)
+            # the best impact left unread, and what the impacts read exceed it by
+            rest = np.array([s[1][b] for s, b in zip(sides, stop)], np.float64)
+            read = np.concatenate([s[1][:b] for s, b in zip(sides, stop)], dtype=np.float64)
+            read -= np.repeat(rest, stop)
+            read *= np.repeat(size, stop)
+            above = np.bincount(np.concatenate([s[0][:b] for s, b in zip(sides, stop)],
+                                               dtype=np.int64), read, n)
+            self.read += len(read)
+            bound = above + (float((size * rest).sum()) + slip)   # of the score less the worst
+            seeds = np.argpartition(np.where(mine, -np.inf, bound), -min(4 * k, n))[-min(4 * k, n):]
+            seeds = seeds[~mine[seeds]]
+            least = int(np.sort(self.rows[seeds] @ weights)[-k]) if len(seeds) >= k else None
+            for v in (least, known):
+                if v is not None:
+                    possible &= bound >= float(v - worst)
+            left = int(possible.sum())
+            if left <= max(4 * k, n // 4) or share == SHARES:
+                # the block's next query begins a share earlier if this one read plenty
+                self.first = max(1, share - (left <= max(4 * k, n // 16)))
+                return possible
+            share = min(SHARES, share + (1 if left < n // 2 else 2))
 
     def to_bytes(self) -> bytes:
         """The index as it is searched: postings in order."""
         if self.rows.dtype == object:
             return pickle.dumps((self.ids, self.rows, self.step, None))
-        return pickle.dumps((self.ids, self.rows, self.step, self.order.astype(
-            np.uint16 if len(self.ids) <= 1 << 16 else np.int64)))
+        return pickle.dumps((self.ids, self.rows, self.step, self.order))
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> "BlockIndex":
@@ -185,18 +205,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     dealt = base.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
     index = dealt.groupBy("block").applyInPandas(build, "block long, index binary")
     batches = (asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)))
-               .groupBy("part").agg(F.collect_list(F.struct("vec_id", "x")).alias("batch"))
-               .select("batch", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")))
+               .groupBy("part").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("batch"))
+               .select("part", "batch", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")))
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, found = None, None
+        best = {}     # of a part of the queries: each one's k best scores in the task's blocks so far
         for record in rows:
-            for block, raw, batch in zip(*(record.column(i) for i in range(3))):
+            for block, raw, part, batch in zip(*(record.column(i) for i in range(4))):
                 if block.as_py() != at:   # rows of a block come together
                     at, found = block.as_py(), BlockIndex.from_bytes(raw.as_py())
                 out = [[], [], []]
-                for q in batch.as_py():
-                    ids, scores = found.search(whole_numbers([q["x"]], scale)[0], q["vec_id"], k)
+                had = best.setdefault(part.as_py(), np.full((len(batch), k), -LONG - 1))
+                for q, top in zip(batch.as_py(), had):
+                    known = int(top[0]) if top[0] >= -LONG else None
+                    ids, scores = found.search(whole_numbers([q["x"]], scale)[0], q["vec_id"], k,
+                                               known)
+                    top[:] = np.sort(np.append(top, scores))[-k:]
                     out[0].append(np.full(len(ids), q["vec_id"], np.int64))
                     out[1].append(ids)
                     out[2].append(scores)
@@ -205,7 +230,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                     names=["query_id", "vec_id", "score"])
 
     hits = (index.join(batches.withColumn("block", F.col("block").cast("long")), "block")
-            .select("block", "index", "batch")
+            .select("block", "index", "part", "batch")
             .mapInArrow(answer, "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

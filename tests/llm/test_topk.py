@@ -1,5 +1,6 @@
 import math
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -91,3 +92,78 @@ def test_most_rows_of_unrelated_vectors_are_ruled_out():
         exact[i] = -1 << 60
         assert scores.tolist() == sorted(exact.tolist(), reverse=True)[:10]
     assert index.read < index.postings
+
+
+def test_interpreted_steps_do_not_grow_with_segments():
+    """A search of 64 dimensions with some 1600 segments, or one a value."""
+    rnd = np.random.default_rng(2)
+    rows = (rnd.normal(0, 128, (4000, 64))).astype(np.int64)
+    for step in (32, 1):
+        index = topk.BlockIndex(np.arange(4000), rows, step)
+        index.search(rows[0], 0, 10)
+        lines = 0
+
+        def trace(frame, event, arg):
+            nonlocal lines
+            lines += event == "line"
+            return trace
+
+        old = sys.gettrace()
+        sys.settrace(trace)
+        try:
+            index.search(rows[1], 1, 10)
+        finally:
+            sys.settrace(old)
+        assert lines < 6000
+
+
+def test_a_known_score_spares_reading_and_loses_nothing():
+    rnd = np.random.default_rng(3)
+    far = 128 / (1 + np.arange(8000) % 8)     # vectors of later blocks are shorter
+    rows = (rnd.normal(0, 1, (8000, 64)) * far[:, None]).astype(np.int64)
+    blocks = [topk.BlockIndex(np.arange(8000)[b::8], rows[b::8], 32) for b in range(8)]
+    read = {False: 0, True: 0}
+    for carried in read:
+        for block in blocks:
+            block.read, block.first = 0, 8
+        for i in range(30):
+            hits, known = [], None
+            for block in blocks:
+                ids, scores = block.search(rows[i], i, 10, known if carried else None)
+                hits = sorted(hits + list(zip((-scores).tolist(), ids.tolist())))[:10]
+                known = -hits[-1][0]
+            exact = rows @ rows[i]
+            assert hits == sorted((-int(s), j) for j, s in enumerate(exact) if j != i)[:10]
+        read[carried] = sum(block.read for block in blocks)
+    assert read[True] < 0.6 * read[False]
+
+
+def test_bounds_hold_for_sums_doubles_cannot_hold():
+    """Scores near 2 ** 61 that differ by little, far from zero."""
+    rnd = np.random.default_rng(4)
+    for spread in (1, 3, 1 << 20):
+        rows = (1 << 30) - rnd.integers(0, spread + 1, (600, 2))
+        query = np.array([(1 << 28) + 1, (1 << 28) - 1])
+        index = topk.BlockIndex(np.arange(600), rows, 32)
+        for q in (query, -query, query * [1, -1]):
+            exact = sorted((-int(s), j) for j, s in enumerate(
+                (rows.astype(object) * q.astype(object)).sum(axis=1)) if j != 5)[:10]
+            ids, scores = index.search(q, 5, 10)
+            assert list(zip((-scores).tolist(), ids.tolist())) == exact
+            ids, scores = index.search(q, 5, 10, -exact[-1][0])
+            assert list(zip((-scores).tolist(), ids.tolist())) == exact
+
+
+def test_equals_brute_force_over_many_blocks_of_a_task(spark):
+    """Query rows under one id with different vectors share its list."""
+    rnd = random.Random(9)
+    rows = [(i, [rnd.gauss(0, 0.3) for _ in range(16)]) for i in range(400)]
+    twice = rows[:40] + [(i, [-x for x in rows[i][1]]) for i in range(0, 40, 2)]
+    got = topk.search(table(spark, rows).coalesce(1), table(spark, rows[:40]).coalesce(1),
+                      block_rows=16, query_rows=64)
+    assert answer(got) == brute(rows, rows[:40], 10)
+    both = answer(topk.search(table(spark, rows), table(spark, twice), block_rows=16, query_rows=64))
+    for i in range(40):
+        hits = sorted((-s, b) for v in [v for j, v in twice if j == i]
+                      for _, _, b, s in brute(rows, [(i, v)], 10))[:10]
+        assert [(-s, b) for a, _, b, s in both if a == i] == hits
